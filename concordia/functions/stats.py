@@ -1,0 +1,23 @@
+"""Null-safe statistical expressions shared by several operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def safe_corr(x, y) -> Column:
+    """Pearson correlation that is NULL (not an error) for constant or 1-row input.
+
+    Spark 4 runs in ANSI mode, where ``corr`` on a constant column divides by
+    zero; population covariance over the product of population deviations
+    gives the same value and lets us map the degenerate case to NULL.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    y = F.col(y) if isinstance(y, str) else y
+    den = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.try_divide(F.covar_pop(x, y), F.when(den != 0, den))
+
+
+def sign(c: Column) -> Column:
+    return F.signum(c)
