@@ -210,3 +210,59 @@ SQL_ORDER_RISK_DIRTY = f"""
 
 DIRTY_TEXT_COLS = ["n_lines", "price_cents", "o_orderpriority", "c_mktsegment", "urgent_note",
                    "status_txt", "has_R_txt"]
+
+
+# ------------------------------------------------------------- closed-form scorers
+# Intercepts and weights (in ORDER_NUMERIC order) of the
+# fixed logistic scorers that stand in for trained models wherever an exact
+# oracle is needed.
+LINEAR_MODELS = {
+    "y": (-0.2, [0.30, -0.004, 0.000004, -8.0, 5.0, 0.1, -0.000002]),
+    "has_R": (-1.5, [0.45, 0.001, 0.000001, 2.0, -3.0, 0.05, 0.0000005]),
+    "has_A": (-1.2, [0.35, 0.002, -0.000002, 4.0, 1.0, 0.08, 0.000001]),
+    "has_N": (0.3, [0.25, -0.001, 0.000002, -1.0, 2.0, 0.02, -0.000001]),
+}
+TARGETS = ["y", "has_R", "has_A", "has_N"]
+
+
+def linear_margin(target: str, cols=None):
+    b, w = LINEAR_MODELS[target]
+    cols = cols or [F.col(c) for c in ORDER_NUMERIC]
+    z = F.lit(float(b))
+    for wi, c in zip(w, cols):
+        z = z + F.lit(float(wi)) * c
+    return z
+
+
+def sql_linear_margin(target: str, cols=None) -> str:
+    b, w = LINEAR_MODELS[target]
+    cols = cols or ORDER_NUMERIC
+    return "(" + f"{float(b)!r}::DOUBLE" + "".join(
+        f" + {float(wi)!r}::DOUBLE * {c}" for wi, c in zip(w, cols)) + ")"
+
+
+def scored_long(t: Tables) -> DataFrame:
+    """One row per (order, target): label, margin z, predicted label, split."""
+    r = order_risk_split(t)
+    items = [F.struct(F.lit(tg).alias("target"), F.col(tg).cast("int").alias("label"),
+                      linear_margin(tg).alias("z")) for tg in TARGETS]
+    # a target with a single class: every order has a customer
+    items.append(F.struct(F.lit("has_customer").alias("target"),
+                          F.col("c_mktsegment").isNotNull().cast("int").alias("label"),
+                          linear_margin("y").alias("z")))
+    return r.select("o_orderkey", "split", F.explode(F.array(*items)).alias("s")) \
+        .select("o_orderkey", "split", "s.target", "s.label", "s.z",
+                (F.col("s.z") >= 0).cast("int").alias("prediction"))
+
+
+def sql_scored_long() -> str:
+    parts = [f"SELECT o_orderkey, split, '{tg}' AS target, cast({tg} AS integer) AS label, "
+             f"{sql_linear_margin(tg)} AS z FROM order_risk_split" for tg in TARGETS]
+    parts.append("SELECT o_orderkey, split, 'has_customer' AS target, "
+                 "cast(c_mktsegment IS NOT NULL AS integer) AS label, "
+                 f"{sql_linear_margin('y')} AS z FROM order_risk_split")
+    return ("SELECT *, cast(z >= 0 AS integer) AS prediction FROM ("
+            + " UNION ALL ".join(parts) + ") u")
+
+
+SQL_CTE_SCORED = f"order_risk_split AS ({SQL_ORDER_RISK_SPLIT}), scored AS ({sql_scored_long()})"
