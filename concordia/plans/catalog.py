@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "concordia.plans.catalog_agreement",
     "concordia.plans.catalog_quality",
+    "concordia.plans.catalog_prep",
 ]
 
 
