@@ -8,6 +8,7 @@ _MODULES = [
     "concordia.plans.catalog_agreement",
     "concordia.plans.catalog_quality",
     "concordia.plans.catalog_prep",
+    "concordia.plans.catalog_explain",
 ]
 
 
