@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sql_uhash32
 from ..operators import explain as ex
 from ..operators import merge as mg
+from ..operators import treeshap as ts
 from ..operators.models import LinearLogit, features_array
 from ..sources.tables import Tables
 from . import frames
@@ -137,7 +138,42 @@ def q_v7_curve_annotations(spark, sf):
                       "direction", "top_rank", "shown")
 
 
+def q_a1_tree_shapley(spark, sf):
+    """Path-dependent tree Shapley values of a median-split tree fitted on
+    the train split, for every test row (exact SQL oracle)."""
+    train, test = split_frames(spark, sf)
+    ens = ts.compile_ensemble([ts.median_split_tree(train)], [1.0], P)
+    s = ts.tree_shap(ens, test, FEATURES)
+    return s.select("id", "feature", "feature_value", F.round("base_value", R6).alias("base_value"),
+                    F.round("shap_value", R6).alias("shap_value"))
+
+
+def _spark_tree_shap(spark, sf, kind):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    train, test = split_frames(spark, sf)
+    tr = train.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
+    clf = GBTClassifier(maxIter=10, maxDepth=4, seed=42) if kind == "gbt" else \
+        RandomForestClassifier(numTrees=10, maxDepth=4, seed=42)
+    model = clf.fit(tr)
+    ens = ts.compile_spark_model(spark, model, P)
+    s = ts.tree_shap(ens, test, FEATURES)
+    return s.select("id", "feature", "feature_value", F.round("base_value", R6).alias("base_value"),
+                    F.round("shap_value", R6).alias("shap_value"))
+
+
+def q_a1_tree_shapley_gbt(spark, sf):
+    return _spark_tree_shap(spark, sf, "gbt")
+
+
+def q_a1_tree_shapley_rf(spark, sf):
+    return _spark_tree_shap(spark, sf, "rf")
+
+
 QUERIES = {
+    "a1_tree_shapley": q_a1_tree_shapley,
+    "a1_tree_shapley_gbt": q_a1_tree_shapley_gbt,
+    "a1_tree_shapley_rf": q_a1_tree_shapley_rf,
     "x5_background_draws": q_x5_background_draws,
     "a1_linear_shapley": q_a1_linear_shapley,
     "a5_ablation_sampled": q_a5_ablation_sampled,
@@ -250,7 +286,42 @@ MERGED_NUM = ["feature_value", "shap_value", "lime_value", "ablation_value", "cu
 _CURVE = (f"{BASE_CTE}, {_a5_cte()}, {_A7_CTE}, {_a6_cte()}, {_shap_cte()}, {_merged_sql()}, "
           + _CURVE_BODY)
 
+_TREE_SQL = f"""WITH {BASE_CTE},
+    t0 AS (SELECT quantile_cont(x0, 0.5) AS t0 FROM tr),
+    t12 AS (SELECT quantile_cont(CASE WHEN x0 <= t0 THEN x2 END, 0.5) AS t1,
+                   quantile_cont(CASE WHEN x0 > t0 THEN x0 END, 0.5) AS t2 FROM tr, t0),
+    th AS (SELECT * FROM t0, t12),
+    lf AS (SELECT CASE WHEN x0 <= t0 AND x2 <= t1 THEN 3 WHEN x0 <= t0 THEN 4
+                       WHEN x0 <= t2 THEN 5 ELSE 6 END AS leaf, count(*) AS n,
+                  avg(CASE WHEN ors.y = 1 THEN 1.0 ELSE 0.0 END) AS v
+           FROM tr JOIN ors ON ors.o_orderkey = tr.id, th GROUP BY 1),
+    st AS (SELECT coalesce(max(CASE WHEN leaf = 3 THEN n END), 0)::DOUBLE AS n3,
+                  coalesce(max(CASE WHEN leaf = 4 THEN n END), 0)::DOUBLE AS n4,
+                  coalesce(max(CASE WHEN leaf = 5 THEN n END), 0)::DOUBLE AS n5,
+                  coalesce(max(CASE WHEN leaf = 6 THEN n END), 0)::DOUBLE AS n6,
+                  coalesce(max(CASE WHEN leaf = 3 THEN v END), 0) AS v3,
+                  coalesce(max(CASE WHEN leaf = 4 THEN v END), 0) AS v4,
+                  coalesce(max(CASE WHEN leaf = 5 THEN v END), 0) AS v5,
+                  coalesce(max(CASE WHEN leaf = 6 THEN v END), 0) AS v6 FROM lf),
+    k AS (SELECT *, n3 + n4 + n5 + n6 AS nn, n3 + n4 AS nl, n5 + n6 AS nr FROM st),
+    phi AS (SELECT te.id,
+        -- leaf 3: x0 in (-inf, t0], x2 in (-inf, t1]; leaf 4: x0 in (-inf, t0], x2 in (t1, inf)
+        v3 * ((CASE WHEN x0 <= t0 THEN 1 ELSE 0 END) - nl / nn) * ((n3 / nl) + (CASE WHEN x2 <= t1 THEN 1 ELSE 0 END)) / 2
+      + v4 * ((CASE WHEN x0 <= t0 THEN 1 ELSE 0 END) - nl / nn) * ((n4 / nl) + (CASE WHEN x2 > t1 THEN 1 ELSE 0 END)) / 2
+      -- leaf 5: x0 in (t0, t2] (merged repeated feature); leaf 6: x0 in (t2, inf)
+      + v5 * ((CASE WHEN x0 > t0 AND x0 <= t2 THEN 1 ELSE 0 END) - (nr / nn) * (n5 / nr))
+      + v6 * ((CASE WHEN x0 > t2 THEN 1 ELSE 0 END) - (nr / nn) * (n6 / nr)) AS phi0,
+        v3 * ((CASE WHEN x2 <= t1 THEN 1 ELSE 0 END) - n3 / nl) * ((nl / nn) + (CASE WHEN x0 <= t0 THEN 1 ELSE 0 END)) / 2
+      + v4 * ((CASE WHEN x2 > t1 THEN 1 ELSE 0 END) - n4 / nl) * ((nl / nn) + (CASE WHEN x0 <= t0 THEN 1 ELSE 0 END)) / 2 AS phi2,
+        (v3 * n3 + v4 * n4 + v5 * n5 + v6 * n6) / nn AS base,
+        [{', '.join(f'te.x{k}' for k in range(P))}] AS xs
+      FROM te, th, k)
+    SELECT id, fn.feature, xs[fn.j + 1] AS feature_value, round(base, {R6}) AS base_value,
+           round(CASE fn.j WHEN 0 THEN phi0 WHEN 2 THEN phi2 ELSE 0.0 END, {R6}) AS shap_value
+    FROM phi, {FEAT_SQL}"""
+
 ORACLES = {
+    "a1_tree_shapley": _TREE_SQL,
     "x5_background_draws": f"""WITH {BASE_CTE}, {_a5_cte()}
         SELECT dr.id, dr.j, round(sum([{', '.join(f'bg.b{k}' for k in range(P))}][dr.j + 1]), {R6}) AS drawn_sum,
                sum(dr.bidx) AS bidx_sum
