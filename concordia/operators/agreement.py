@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import prefix_sums, row_number
-from ..functions.stats import safe_corr
 
 # Method names, method pairs and their report labels, metric
 # names, the default target label and the summary's total-row label.
@@ -108,8 +107,17 @@ def paired_points(ranks: DataFrame, pairs=PAIRS) -> DataFrame:
 
 # -------------------------------------------------------------------------- I3
 def spearman(points: DataFrame) -> DataFrame:
-    """Pearson correlation of unique ranks; NULL for groups of one attribute."""
-    return points.groupBy(*GROUP, "pair").agg(safe_corr("xr", "yr").alias("value")) \
+    """Pearson correlation of the unique ranks; NULL for groups of one attribute.
+
+    Both rank vectors are permutations of 1..n, so the correlation equals
+    1 - 6*sum(d^2) / (n(n^2-1)), evaluated from exact integer sums with one
+    division: the same double in every engine, whatever the summation order.
+    """
+    n = F.count(F.lit(1))
+    d2 = F.sum(((F.col("xr") - F.col("yr")) * (F.col("xr") - F.col("yr"))).cast("bigint"))
+    den = (n * (n * n - 1)).cast("double")
+    rho = F.when(n >= 2, F.lit(1.0) - (F.lit(6.0) * d2.cast("double")) / den)
+    return points.groupBy(*GROUP, "pair").agg(rho.alias("value")) \
         .withColumn("metric", F.lit("Spearman"))
 
 
@@ -214,16 +222,28 @@ def agreement_per_target(imp: DataFrame, k: int = TOP_K, tie_col: str | None = N
         .unionByName(jaccard_top_k(ranks, k, pairs).select(*cols))
 
 
+def _ordered_mean(col: str):
+    """Mean of the non-NULL values summed in ascending order (deterministic
+    across partitionings; the list is one value per target, i.e. small)."""
+    vals = F.array_sort(F.collect_list(col))
+    total = F.aggregate(vals, F.lit(0.0), lambda a, b: a + b)
+    return F.when(F.size(vals) > 0, total / F.size(vals))
+
+
 def dataset_means(per_target: DataFrame) -> DataFrame:
     """Mean over targets per dataset, rounded half-even to 2 dp (NULLs skipped)."""
     return per_target.groupBy("dataset", "metric", "pair") \
-        .agg(F.bround(F.avg("value"), 2).alias("value"))
+        .agg(F.bround(_ordered_mean("value"), 2).alias("value"))
 
 
 def with_total_row(per_dataset: DataFrame) -> DataFrame:
-    """Append ``TOTAL AVERAGE``: mean of the already rounded dataset rows, rounded."""
+    """Append ``TOTAL AVERAGE``: mean of the already rounded dataset rows,
+    rounded again. The rounded rows are exact cents, so they are summed as
+    integers and divided once."""
+    cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
+    mean = cents.cast("double") / (F.lit(100.0) * F.count("value"))
     total = per_dataset.groupBy("metric", "pair") \
-        .agg(F.bround(F.avg("value"), 2).alias("value")) \
+        .agg(F.bround(mean, 2).alias("value")) \
         .withColumn("dataset", F.lit(TOTAL_ROW))
     return per_dataset.unionByName(total)
 

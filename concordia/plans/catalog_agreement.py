@@ -34,7 +34,8 @@ def _sql_metrics(attribute="brand", k=ag.TOP_K):
     return _sql_ranks(attribute) + f""",
     grp AS (SELECT DISTINCT dataset, target, pair FROM pts),
     spearman AS (SELECT dataset, target, pair, 'Spearman' AS metric,
-                        covar_pop(xr, yr) / nullif(stddev_pop(xr) * stddev_pop(yr), 0) AS value
+                        CASE WHEN count(*) >= 2 THEN 1.0::DOUBLE - (6.0::DOUBLE * cast(sum((xr - yr) * (xr - yr)) AS DOUBLE))
+                             / cast(count(*) * (count(*) * count(*) - 1) AS DOUBLE) END AS value
                  FROM pts GROUP BY ALL),
     kpairs AS (SELECT a.dataset, a.target, a.pair,
                       sum(sign(a.xv - b.xv) * sign(a.yv - b.yv)) AS s,
@@ -62,10 +63,15 @@ def _sql_metrics(attribute="brand", k=ag.TOP_K):
     per_target AS (SELECT dataset, target, metric, pair, value FROM spearman
                    UNION ALL SELECT dataset, target, metric, pair, value FROM kendall
                    UNION ALL SELECT dataset, target, metric, pair, value FROM jaccard),
-    per_dataset AS (SELECT dataset, metric, pair, round_even(avg(value), 2) AS value
+    per_dataset AS (SELECT dataset, metric, pair,
+                           round_even(list_reduce(list_sort(list(value) FILTER (WHERE value IS NOT NULL)),
+                                                  lambda a, b: a + b)
+                                      / count(value), 2) + 0.0 AS value
                     FROM per_target GROUP BY ALL),
     summary AS (SELECT * FROM per_dataset
-                UNION ALL SELECT '{ag.TOTAL_ROW}' AS dataset, metric, pair, round_even(avg(value), 2) AS value
+                UNION ALL SELECT '{ag.TOTAL_ROW}' AS dataset, metric, pair,
+                       round_even(cast(sum(cast(round(value * 100) AS bigint)) AS DOUBLE) / (100.0::DOUBLE * count(value)), 2)
+                       + 0.0 AS value
                 FROM per_dataset GROUP BY metric, pair)"""
 
 
