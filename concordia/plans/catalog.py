@@ -9,6 +9,9 @@ _MODULES = [
     "concordia.plans.catalog_quality",
     "concordia.plans.catalog_prep",
     "concordia.plans.catalog_explain",
+    "concordia.plans.catalog_io",
+    "concordia.plans.catalog_models",
+    "concordia.plans.catalog_lime",
 ]
 
 
