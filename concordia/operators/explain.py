@@ -45,6 +45,16 @@ def base_value(scorer, train: DataFrame) -> float:
     return scorer.predict(train.select("x"), "x").agg(F.avg("pred")).first()[0]
 
 
+def spread(df: DataFrame, key: str = "id") -> DataFrame:
+    """Hash-spread the rows to explain before a large fan-out (draws, samples,
+    leaves): an upstream aggregate may leave them in very few partitions, and
+    every exploded row would then be produced by those few tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+            spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)
+
+
 def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
@@ -78,7 +88,7 @@ def marginal_ablation(scorer, train: DataFrame, test: DataFrame, feature_names:
     base = base_value(scorer, train)
     bg_long = bg.select("bidx", F.posexplode("x").alias("j", "v"))
     bg_long = _maybe_broadcast(bg_long, n_bg * p, broadcast_rows)
-    draws = marginal_draws(test, p, n_draws, n_bg, seed)
+    draws = marginal_draws(spread(test), p, n_draws, n_bg, seed)
     pert = draws.join(bg_long, ["j", "bidx"]) \
         .withColumn("xp", F.transform("x", lambda e, k: F.when(k == F.col("j"), F.col("v")).otherwise(e)))
     scored = scorer.predict(pert.select("id", "j", "xp"), "xp")
@@ -103,7 +113,7 @@ def marginal_ablation_exact(scorer, train: DataFrame, test: DataFrame, feature_n
         .agg((F.count(F.lit(1)) / F.lit(float(n_train))).alias("w"))
     n_vals = marg.count()
     marg = _maybe_broadcast(marg, n_vals, broadcast_rows)
-    rows = test.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
+    rows = spread(test).select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
         .join(marg, "j") \
         .withColumn("xp", F.transform("x", lambda e, k: F.when(k == F.col("j"), F.col("v")).otherwise(e)))
     scored = scorer.predict(rows.select("id", "j", "w", "xp"), "xp")
@@ -144,7 +154,7 @@ def cumulative_ablation(scorer, train: DataFrame, test: DataFrame, feature_names
     bg, n_bg = background or number_background(train)
     base = base_value(scorer, train)
     bgr = _maybe_broadcast(bg.withColumnRenamed("x", "xb"), n_bg, broadcast_rows)
-    draws = joint_draws(test, p, n_draws, n_bg, seed)
+    draws = joint_draws(spread(test), p, n_draws, n_bg, seed)
     pert = draws.join(bgr, "bidx") \
         .withColumn("xp", F.transform("x", lambda e, k: F.when(
             F.element_at(step_of, k + 1) <= F.col("s"), F.element_at("xb", k + 1)).otherwise(e)))

@@ -181,7 +181,8 @@ def tree_shap(ens: CompiledEnsemble, test: DataFrame, feature_names: Sequence[st
     """(id, feature, feature_value, base_value, shap_value) for every row and feature."""
     leaves = _leaf_literal(ens)
     names = F.array(*[F.lit(n) for n in feature_names])
-    per_leaf = test.select("id", "x", F.explode(leaves).alias("L"))
+    from .explain import spread
+    per_leaf = spread(test).select("id", "x", F.explode(leaves).alias("L"))
     d = F.size("L.f")
     pattern = F.aggregate(
         F.sequence(F.lit(0), d - 1), F.lit(0),

@@ -49,8 +49,8 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
             lines.append(r["line"])
     schema = parse_header(lines)
     data = text.where((F.length(trimmed) > 0) & ~trimmed.startswith("@") & ~trimmed.startswith("%"))
-    parsed = data.select(F.from_csv(F.col("value"), schema.simpleString()[len("struct<"):-1]
-                                    .replace(":", " "), {"nullValue": "?", "quote": "'"}).alias("r"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = data.select(F.from_csv(F.col("value"), ddl, {"nullValue": "?", "quote": "'"}).alias("r"))
     return parsed.select("r.*")
 
 

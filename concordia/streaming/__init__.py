@@ -1,0 +1,3 @@
+"""Intentionally empty: the analysis has no streaming operator (no windows,
+watermarks or state). Batch jobs in ``concordia.operators`` cover every
+operator of the inventory."""
