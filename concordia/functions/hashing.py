@@ -72,3 +72,23 @@ def with_mix31(df, seed_col: str, sample_col: str, n: int, prefix: str = "__u",
         cur = cur.select(*keep, *[((F.col(f"{prefix}{j}") * F.col(f"{prefix}{j}") + c) % MIX_MOD)
                                   .alias(f"{prefix}{j}") for j in range(n)])
     return cur
+
+
+# second stream for the high half of a 62-bit index (fixed value)
+MIX_HIGH_OFFSET = 1000003
+
+
+def draw_index(seed_col: Column, sample, feature, n) -> Column:
+    """Index in [0, n) from (row seed, sample, feature): two mixed 31-bit
+    streams give a 62-bit value, so background tables of any size are
+    reachable. ``seed_col`` is ``uhash32(seed, id) % MIX_MOD`` (one md5/row)."""
+    j = feature if isinstance(feature, Column) else F.lit(feature)
+    hi = mix31(seed_col, sample, j + F.lit(MIX_HIGH_OFFSET))
+    lo = mix31(seed_col, sample, j)
+    return (hi * F.lit(MIX_MOD) + lo) % (n if isinstance(n, Column) else F.lit(n))
+
+
+def sql_draw_index(seed_sql: str, sample_sql: str, feature_sql: str, n_sql: str) -> str:
+    hi = sql_mix31(seed_sql, sample_sql, f"({feature_sql}) + {MIX_HIGH_OFFSET}")
+    lo = sql_mix31(seed_sql, sample_sql, feature_sql)
+    return f"((({hi}) * {MIX_MOD} + ({lo})) % ({n_sql}))"

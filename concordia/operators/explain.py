@@ -2,8 +2,9 @@
 
 Rows to explain carry ``id`` and a feature array ``x``; the background
 (training rows) is numbered 0..n-1 with the distributed row number. Every
-random draw is ``uhash32(seed, id, feature|step, draw) mod n``, so draws are
-reproducible, independent of partitioning and checkable in SQL.
+random draw is an integer-mixer index seeded by ``md5(seed|id)`` and keyed by
+(feature|step, draw), so draws are reproducible, independent of
+partitioning and checkable in SQL.
 
 Work grows as rows x features x draws; the plan is
 
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uhash32
+from ..functions.hashing import MIX_MOD, draw_index, uhash32
 from ..functions.ordering import row_number
 
 BROADCAST_ROWS = 2_000_000
@@ -62,17 +63,20 @@ def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 # ----------------------------------------------------------------- X5, X6, J9
 def marginal_draws(test: DataFrame, p: int, n_draws: int, n_bg: int, seed) -> DataFrame:
     """(id, x, j, d, bidx): one background index per row, feature and draw.
-    The row's own array travels with the draw, so no join back on id."""
-    return test.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
-        .select("id", "x", "j", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("d")) \
-        .withColumn("bidx", uhash32(seed, "id", "j", "d") % F.lit(n_bg))
+    One md5 per row seeds an integer mixer for all of the row's draws; the
+    row's own array travels with the draw, so no join back on id."""
+    seeded = test.select("id", "x", (uhash32(seed, "id") % F.lit(MIX_MOD)).alias("__seed"))
+    return seeded.select("id", "x", "__seed", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
+        .select("id", "x", "__seed", "j", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("d")) \
+        .select("id", "x", "j", "d", draw_index(F.col("__seed"), F.col("d"), F.col("j"), n_bg).alias("bidx"))
 
 
 def joint_draws(test: DataFrame, steps: int, n_draws: int, n_bg: int, seed) -> DataFrame:
     """(id, x, s, d, bidx): one joint background row per row, step and draw."""
-    return test.select("id", "x", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("s")) \
-        .select("id", "x", "s", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("d")) \
-        .withColumn("bidx", uhash32(seed, "id", "s", "d") % F.lit(n_bg))
+    seeded = test.select("id", "x", (uhash32(seed, "id") % F.lit(MIX_MOD)).alias("__seed"))
+    return seeded.select("id", "x", "__seed", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("s")) \
+        .select("id", "x", "__seed", "s", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("d")) \
+        .select("id", "x", "s", "d", draw_index(F.col("__seed"), F.col("d"), F.col("s"), n_bg).alias("bidx"))
 
 
 # ------------------------------------------------------------------------ A5

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import sql_uhash32
+from ..functions.hashing import MIX_MOD, sql_draw_index, sql_uhash32
 from ..operators import explain as ex
 from ..operators import merge as mg
 from ..operators import treeshap as ts
@@ -210,9 +210,10 @@ def _a5_cte(target="y", name="a5"):
     cols = [f"CASE WHEN dr.j = {k} THEN bg.b{k} ELSE dr.x{k} END" for k in range(P)]
     te_cols = [f"x{k}" for k in range(P)]
     tr_cols = [f"x{k}" for k in range(P)]
-    return f"""{name}_dr AS (SELECT te.*, j.j, d.d,
-                  {sql_uhash32(SEED_A5, 'te.id', 'j.j', 'd.d')} % nb.n AS bidx
-           FROM te, range({P}) j(j), range({N_DRAWS}) d(d), nb),
+    return f"""{name}_dr AS (SELECT t.*, j.j, d.d,
+                  {sql_draw_index('t.rs', 'd.d', 'j.j', 'nb.n')} AS bidx
+           FROM (SELECT *, {sql_uhash32(SEED_A5, 'id')} % {MIX_MOD} AS rs FROM te) t,
+                range({P}) j(j), range({N_DRAWS}) d(d), nb),
     {name}_pt AS (SELECT dr.id, dr.j, {_prob(target, cols)} AS pred FROM {name}_dr dr JOIN bg USING (bidx)),
     {name}_avg AS (SELECT id, j, avg(pred) AS avg_pred FROM {name}_pt GROUP BY ALL),
     {name}_orig AS (SELECT id, {_prob(target, te_cols)} AS orig, {', '.join(te_cols)} FROM te),
@@ -232,8 +233,9 @@ def _a6_cte():
     ranks = ", ".join(f"(SELECT step FROM a7 WHERE feature = '{c}') AS r{k}" for k, c in enumerate(FEATURES))
     cols = [f"CASE WHEN rk.r{k} <= dr.s THEN bg.b{k} ELSE dr.x{k} END" for k in range(P)]
     return f"""rk AS (SELECT {ranks}),
-    a6_dr AS (SELECT te.*, s.s, d.d, {sql_uhash32(SEED_A6, 'te.id', 's.s', 'd.d')} % nb.n AS bidx
-              FROM te, range(1, {P + 1}) s(s), range({N_DRAWS}) d(d), nb),
+    a6_dr AS (SELECT t.*, s.s, d.d, {sql_draw_index('t.rs', 'd.d', 's.s', 'nb.n')} AS bidx
+              FROM (SELECT *, {sql_uhash32(SEED_A6, 'id')} % {MIX_MOD} AS rs FROM te) t,
+                   range(1, {P + 1}) s(s), range({N_DRAWS}) d(d), nb),
     a6_pt AS (SELECT dr.id, dr.s, {_prob('y', cols)} AS pred FROM a6_dr dr JOIN bg USING (bidx), rk),
     a6_cur AS (SELECT id, s, avg(pred) AS current_prediction FROM a6_pt GROUP BY ALL),
     a6 AS (SELECT c.id, c.s AS step, a7.feature,
