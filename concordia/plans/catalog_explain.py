@@ -14,6 +14,7 @@ from ..operators import explain as ex
 from ..operators import merge as mg
 from ..operators import treeshap as ts
 from ..operators.models import LinearLogit, features_array
+from ..session import materialize
 from ..sources.tables import Tables
 from . import frames
 
@@ -32,8 +33,8 @@ def model_for(target: str) -> LinearLogit:
 
 def split_frames(spark, sf, label="y"):
     r = frames.order_risk_split(Tables(spark, sf))
-    base = r.select(F.col("o_orderkey").alias("id"), "split", features_array(FEATURES).alias("x"),
-                    F.col(label).alias("label"))
+    base = materialize(r.select(F.col("o_orderkey").alias("id"), "split", features_array(FEATURES).alias("x"),
+                                F.col(label).alias("label")))
     return base.where(F.col("split") == "train"), base.where(F.col("split") == "test")
 
 

@@ -62,3 +62,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def materialize(df):
+    """Write a frame that several jobs read to the shared checkpoint folder
+    once (reliable checkpoint, lineage cut), instead of recomputing its
+    upstream joins and aggregates in every consumer."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
