@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordering import prefix_sums, row_number
+from ..session import materialize
 
 # Method names, method pairs and their report labels, metric
 # names, the default target label and the summary's total-row label.
@@ -136,7 +137,7 @@ def _dominance_total(points: DataFrame, key: Sequence[str]) -> DataFrame:
     ydist = points.select(*key, "y").distinct()
     yr = prefix_sums(ydist, [F.col("y").asc()], {"yrank": F.lit(1).cast("bigint")},
                      partition_cols=key, inclusive=False)
-    pts = points.join(yr, key + ["y"])
+    pts = materialize(points.join(yr, key + ["y"]))
     levels = pts.groupBy(*key).agg(F.max("yrank").alias("__maxr"))
     pts = pts.join(levels, key).withColumn(
         "__nlev", F.greatest(F.lit(1), F.ceil(F.log2(F.col("__maxr") + 1)).cast("int")))
@@ -214,8 +215,10 @@ def jaccard_top_k(ranks: DataFrame, k: int = TOP_K, pairs=PAIRS) -> DataFrame:
 def agreement_per_target(imp: DataFrame, k: int = TOP_K, tie_col: str | None = None,
                          pairs=PAIRS) -> DataFrame:
     """All metrics for every (dataset, target, pair): long (.., metric, pair, value)."""
-    ranks = unique_ranks(imp, tie_col)
-    pts = paired_points(ranks, pairs)
+    # ranks and paired points are as small as the importance table and feed
+    # three metrics: write each once instead of re-deriving it per consumer
+    ranks = materialize(unique_ranks(imp, tie_col))
+    pts = materialize(paired_points(ranks, pairs))
     cols = [*GROUP, "metric", "pair", "value"]
     return spearman(pts).select(*cols) \
         .unionByName(kendall_tau_b(pts).select(*cols)) \
