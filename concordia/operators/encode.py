@@ -140,8 +140,9 @@ def label_codes(train: DataFrame, col: str, out: str = "code") -> DataFrame:
 
 def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, out: str = "code",
                       strict: bool = True) -> DataFrame:
-    """Join the (small) code table; unseen labels are an error when ``strict``."""
-    j = df.join(F.broadcast(codes.withColumnRenamed("value", "__v")),
+    """Join the code table (AQE broadcasts it when its runtime size is small);
+    unseen labels are an error when ``strict``."""
+    j = df.join(codes.withColumnRenamed("value", "__v"),
                 F.col(col) == F.col("__v"), "left").drop("__v")
     if strict:
         j = j.withColumn(out, F.when(F.col(out).isNull() & F.col(col).isNotNull(),

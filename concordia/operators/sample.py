@@ -53,7 +53,9 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,
                                  .otherwise(0)).alias("__t"))
     ranked = row_number(df.withColumn("__h", uhash32(seed, key)),
                         [F.col("__h").asc(), F.col(key).asc()], partition_cols=[label], out="__rk")
-    return ranked.join(F.broadcast(alloc), label) \
+    # one row per class; joined without a hint so AQE broadcasts it only when
+    # its measured size is small
+    return ranked.join(alloc, label) \
         .withColumn(out, F.when(F.col("__rk") <= F.col("__t"), F.lit("test")).otherwise(F.lit("train"))) \
         .drop("__h", "__rk", "__t")
 
