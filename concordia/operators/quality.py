@@ -77,8 +77,17 @@ def averaged_row(rows: DataFrame, group: Sequence[str], label_col: str, label: s
                  digits: int = 4, keep_detail: bool = True) -> DataFrame:
     """Mean of the already-rounded per-target rows (NULL AUROC skipped)."""
     group = list(group)
+    scale = 10 ** digits
+
+    def mean_of_rounded(m):
+        # the inputs are exact multiples of 10^-digits: sum them as integers
+        # and divide once, so the result (and its rounding) does not depend on
+        # the order in which partial sums arrive
+        units = F.sum(F.round(F.col(m) * scale).cast("bigint")).cast("double")
+        return F.round(units / F.count(m)) / F.lit(float(scale))
+
     avg = rows.groupBy(*group).agg(
-        *[F.round(F.avg(m), digits).alias(m) for m in metrics],
+        *[mean_of_rounded(m).alias(m) for m in metrics],
         *[F.max(c).alias(c) for c in rows.columns if c in ("n_test", "n_train")]) \
         .withColumn(label_col, F.lit(label))
     if not keep_detail:

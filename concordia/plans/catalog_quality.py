@@ -109,7 +109,9 @@ ORACLES = {
         SELECT * FROM rows_
         UNION ALL
         SELECT dataset, 'Averaged across targets', classifier, max(n_train), max(n_test),
-               round(avg(accuracy), 4), round(avg(f1_weighted), 4), round(avg(auroc), 4)
+               round(cast(sum(cast(round(accuracy * 10000) AS bigint)) AS double) / count(accuracy)) / 10000.0,
+               round(cast(sum(cast(round(f1_weighted * 10000) AS bigint)) AS double) / count(f1_weighted)) / 10000.0,
+               round(cast(sum(cast(round(auroc * 10000) AS bigint)) AS double) / count(auroc)) / 10000.0
         FROM rows_ GROUP BY dataset, classifier""",
     "f1_class_ratio": f"""WITH {frames.SQL_CTE_SCORED}
         SELECT target, round(CASE WHEN sum(label) > 0 THEN sum(1 - label) / sum(label) ELSE 1.0 END, {R6}) AS ratio
