@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import ann, chat, minhash, mixing, pieces, quantised, secrets, tokens, toxicity, urls
 
-_MODULES = [minhash]
+_MODULES = [minhash, secrets, toxicity, chat, mixing, urls, tokens, ann, pieces, quantised]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items() if sql}

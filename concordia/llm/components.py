@@ -26,10 +26,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Self loops and repeated edges are fine; edges with a null end are ignored;
     an empty edge list gives an empty table.
     """
-    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")) \
-        .where(F.col(u).isNotNull() & F.col(v).isNotNull())
-    loops = e.where(F.col("u") == F.col("v")).select("u")
-    e = materialize(e.where(F.col("u") != F.col("v")).distinct())
+    given = materialize(edges.where(F.col(u).isNotNull() & F.col(v).isNotNull())
+                        .select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    loops = given.where("u = v").select("u")
+    e = given.where("u != v")
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -25,6 +25,9 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+# Letters, digits and every byte of a multi-byte character; all else parts words.
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _MIX = tuple(int(v) | 1 for v in _rng.integers(1, 2**63, 4, dtype=np.uint64))
 _POW = np.ones(1, dtype=np.uint64)
 _INV = np.ones(1, dtype=np.uint64)
@@ -69,14 +72,14 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES):
         lo = hi
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True):
+def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, separators: np.ndarray = _SPACE):
     """``(hash per word, first word of each row, start, end)`` for one slice of texts."""
     n = len(data)
     rows = len(offsets) - 1
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), z, z
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     cut = offsets[(offsets > 0) & (offsets < n)]  # a row's edge ends a word
