@@ -124,8 +124,8 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     ]
     parts = [f"SELECT {y} AS label, {t} AS token, {b} AS before, {left} AS left, {a} AS after, "
              f"CASE WHEN id % 9 = 0 THEN {'\'src/main\'' if y else '\'tests/data\''} ELSE '' END AS path "
-             f"FROM (SELECT id, 'k{i}' AS k FROM range({each}))" for i, (y, t, b, left, a) in enumerate(kinds)]
-    return spark.sql(" UNION ALL ".join(parts))
+             f"FROM (SELECT id, 'k{i}' AS k FROM range(0, {each}, 1, 1))" for i, (y, t, b, left, a) in enumerate(kinds)]
+    return spark.sql(" UNION ALL ".join(parts)).coalesce(2)
 
 
 def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 3):

@@ -11,18 +11,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concordia.llm import minhash
+from concordia.llm import minhash, mixing, pieces, secrets, toxicity
 from concordia.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scoring 0.7 or more go; the classifier learns from the labelled ones."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays."""
     return minhash.keep_one(docs, size=5, percent=80)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are masked."""
+    return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)), "source")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources (weights 1, 2, 3 in turn) uses them."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, and whether decoding them gives the text again."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", near_dedup),
+    ("secret_scan", mask_secrets),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
-# Hashed models and subword ids have no SQL form; tests compare with brute force.
+# A fitted classifier and forest, and subword ids, have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
