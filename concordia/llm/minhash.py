@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import shingles as S
 from .components import components
+from .shipping import ship
 
 BLOCK = 256
 
@@ -185,6 +186,7 @@ def duplicate_links(docs: DataFrame, sigs: DataFrame, size: int, percent: int, k
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, seed: int = 1) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest reachable doc_id), kept."""
+    ship(docs.sparkSession)
     t = match_threshold(k, percent)
     sigs = materialize(signatures(docs, size, k, seed))
     links = duplicate_links(docs, sigs, size, percent, k, t)

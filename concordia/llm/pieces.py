@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 MODEL_FILE = "piece_bpe_32k.model"
 TOKENIZER_DIR = "/opt/tokenizers"
 STORE_UNITS = 250_000
@@ -399,6 +401,7 @@ def slices(b: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_pieces, pieces, round_trip)`` per row: piece ids of the whole text, decoded again and compared."""
     path = path or model_path()
+    ship(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)
@@ -420,6 +423,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """As :func:`encode`, with the ids' digest instead of the ids, so no id leaves the task."""
     path = path or model_path()
+    ship(docs.sparkSession)
 
     def run(batches):
         enc = encoder(path)

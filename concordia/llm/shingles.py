@@ -72,8 +72,9 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES):
         lo = hi
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, separators: np.ndarray = _SPACE):
-    """``(hash per word, first word of each row, start, end)`` for one slice of texts."""
+def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, separators: np.ndarray = _SPACE,
+          prefix: int | None = None):
+    """``(hash per word, first word of each row, start, end)`` for one slice of texts; ``prefix``: of so many bytes only."""
     n = len(data)
     rows = len(offsets) - 1
     if n == 0:
@@ -89,6 +90,8 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True, separators:
     ends[cut - 1] = inside[cut - 1]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
+    if prefix:
+        end = np.minimum(end, start + prefix)
     p, inv = _powers(n)
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0

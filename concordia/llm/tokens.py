@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the vocabulary's own pre-splitting pattern.
@@ -105,6 +107,7 @@ def section_tokens(docs: DataFrame, rule: str = "start", path: str | None = None
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = path or ranks_path()
+    ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:

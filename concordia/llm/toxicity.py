@@ -1,6 +1,8 @@
 """Operator 3: toxicity, a counterfactual-regularised linear classifier.
 
-Features are the distinct words of the whole text. A word's weight is learnt on
+Features are the distinct words of the whole text, and the distinct beginnings
+(``PREFIXES`` bytes) of its longer words, which carry over to inflected forms a
+small sample doesn't hold. A feature's weight is learnt on
 a bounded sample of labelled rows: logistic loss, a ridge, and a counterfactual
 penalty ``strength * mean((s(x) - s(x'))^2)`` where ``s`` is the score before the
 logistic and ``x'`` is a labelled sentence whose identity term was swapped for
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
+from .shipping import ship
 
 #: Groups whose members may be swapped for one another (parameter default).
 IDENTITY_GROUPS = (
@@ -40,6 +43,7 @@ IDENTITY_GROUPS = (
 )
 MAX_TRAIN = 8000
 THRESHOLD = 0.7
+PREFIXES = (5, 6, 7, 8)
 
 
 def held_out() -> F.Column:
@@ -54,13 +58,22 @@ def word_hashes(words) -> np.ndarray:
 
 
 def _row_words(offs, data):
-    """Distinct ``(row, word hash)`` pairs of a slice."""
-    h, first, _, _ = S.words(offs, data, separators=S.NOT_LETTER)
-    return h, np.repeat(np.arange(len(first) - 1), np.diff(first))
+    """``(feature hash, row)`` of every word, and of every longer word's beginning, of a slice; rows ascend."""
+    h, first, start, end = S.words(offs, data, separators=S.NOT_LETTER)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    hs, rows = [h], [row]
+    for n in PREFIXES:
+        long = end - start > n
+        hs.append(~S.words(offs, data, separators=S.NOT_LETTER, prefix=n)[0][long])
+        rows.append(row[long])
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return np.concatenate(hs)[order], row[order]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, learn_from) -> list:
     """At most ``max_train`` rows ``(y, distinct word hashes)``, repeated texts once."""
+    ship(docs.sparkSession)
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn_from) \
         .groupBy("doc_id").agg(F.max("toxic").alias("y"))
     picked = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -97,7 +110,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 10.0, ridge: float = 1e-3, min_z: float = 3.0,
+def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 10.0, ridge: float = 1e-3, min_z: float = 2.5,
         max_features: int = 20000, steps: int = 300, seed: int = 7) -> Model:
     """Fit on labelled word sets (a bounded sample; rows are put in a fixed order first)."""
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
@@ -171,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, learn_
 
 def with_score(docs: DataFrame, model: Model, out: str) -> DataFrame:
     """``docs`` with a double column ``out`` (0 to 1) scored from ``text`` alone."""
+    ship(docs.sparkSession)
     kept = docs.schema
     schema = type(kept)([*kept.fields]).add(out, "double")
     at = docs.columns.index("text")

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shipping import ship
+
 
 def pack(col: pa.Array) -> list:
     """Each row's little-endian bytes, or None where the vector is null, empty, zero or not wholly finite."""
@@ -29,6 +31,7 @@ def pack(col: pa.Array) -> list:
 
 def packed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, np.dtype]:
     """``(vec_id, dim, raw)`` per row; ``dim`` and ``raw`` are null for vectors that take no part."""
+    ship(vectors.sparkSession)
     item = vectors.schema[vector_col].dataType
     single = getattr(item, "elementType", None) is not None and item.elementType.typeName() == "float"
     dtype = np.dtype("<f4" if single else "<f8")
