@@ -8,8 +8,8 @@ resort. A pattern's flow is a number of whole uses of all its documents plus a
 rest, and the rest is taken by seeded documents: in the order of a seeded hash,
 as many as fit, found by refining hash ranges with partial sums (no sort, no
 pass over a whole source in one task). What the last range leaves is filled with
-smaller documents further on in the same order, until the gap is under
-``tolerance`` of the flow or nothing fits. The outcome is a rule a pattern
+smaller documents further on in the same order, and then with one more use of
+small documents, until the gap is under ``tolerance`` of the flow or nothing fits. The outcome is a rule a pattern
 (uses, hash ranges, size limits), applied map-side: no text is shuffled.
 
 The flow is solved on the driver; it sees one row a membership pattern, never
@@ -204,19 +204,24 @@ def plan_mix(docs: DataFrame, members: Column, size: Column, targets, prices=PRI
     keys = spark.createDataFrame([(k, p) for p, (k, _, _) in enumerate(sums)], "__key string, pattern int")
     sized = table.join(F.broadcast(keys), "__key").select("pattern", "size", "h")
     stop = {p: tolerance * total[p] for p in left}
-    rules: dict[int, list] = {p: [] for p in range(len(sums))}
-    least, largest = dict.fromkeys(left, 0), dict(left)
-    first = True
-    while left:
-        # the first range takes documents of any size, later ones those that fit in the gap
-        found = _ranges(sized, left, least, {p: (1 << 62) if first else largest[p] for p in left}, stop)
-        again = {}
-        for p, (end, words) in found.items():
-            rules[p].append((least[p], end, (1 << 62) if first else largest[p]))
-            gap = left[p] - words
-            if gap > stop[p] and end < 1 << HASH_BITS and (words or first):
-                again[p], least[p], largest[p] = gap, end, gap
-        left, first = again, False
+    rules: list[dict[int, list]] = [{p: [] for p in range(len(sums))} for _ in range(2)]
+    any_size = 1 << 62
+    for extra in range(2):  # one use more for some documents; then, where that leaves a gap, a second one
+        least, first = dict.fromkeys(left, 0), extra == 0
+        unfilled: dict[int, int] = {}
+        while left:
+            # the first range takes documents of any size, later ones those that fit in the gap
+            largest = {p: any_size if first else left[p] for p in left}
+            again = {}
+            for p, (end, words) in _ranges(sized, left, least, largest, stop).items():
+                rules[extra][p].append((least[p], end, largest[p]))
+                gap = left[p] - words
+                if gap > stop[p] and end < 1 << HASH_BITS and (words or first):
+                    again[p], least[p] = gap, end
+                elif gap > stop[p]:
+                    unfilled[p] = gap
+            left, first = again, False
+        left = {p: g for p, g in unfilled.items() if uses[p] + extra + 2 <= len(prices)}
     spread = []
     for p, (k, who, w) in enumerate(sums):
         ends, run = [], 0
@@ -224,12 +229,15 @@ def plan_mix(docs: DataFrame, members: Column, size: Column, targets, prices=PRI
             run += flow[p][s]
             ends.append((float(run) / w, names[s]))
         lead = names.index(who[0]) if who else None
-        spread.append((k, int(uses[p]), rules[p], ends, *((sizes[names[lead]], float(goal[names[lead]])) if who else (0, 0.0))))
+        spread.append((k, int(uses[p]), rules[0][p], rules[1][p], ends, *((sizes[names[lead]], float(goal[names[lead]])) if who else (0, 0.0))))
     plan = spark.createDataFrame(spread, "__plan_key string, __whole int, __rules array<struct<lo:bigint,hi:bigint,most:bigint>>, "
-                                 "__ends array<struct<upto:double,source:string>>, __source_size long, __target double")
+                                 "__more array<struct<lo:bigint,hi:bigint,most:bigint>>, __ends array<struct<upto:double,source:string>>, __source_size long, __target double")
     joined = rows.join(plan, rows["__key"] == plan["__plan_key"], "left")
-    one = F.exists("__rules", lambda r: (F.col("__h") >= r["lo"]) & (F.col("__h") < r["hi"]) & (F.col("__size") <= r["most"]))
-    n = F.when(F.col("__size") > 0, F.col("__whole") + one.cast("int")).otherwise(F.lit(0))
+
+    def fits(rules):
+        return F.exists(rules, lambda r: (F.col("__h") >= r["lo"]) & (F.col("__h") < r["hi"]) & (F.col("__size") <= r["most"]))
+
+    n = F.when(F.col("__size") > 0, F.col("__whole") + fits("__rules").cast("int") + fits("__more").cast("int")).otherwise(F.lit(0))
     place = F.col("__h") / F.lit(float(1 << HASH_BITS))
 
     def source_of(i):
@@ -239,7 +247,7 @@ def plan_mix(docs: DataFrame, members: Column, size: Column, targets, prices=PRI
 
     return joined.withColumn("__n", n).withColumn("__uses", F.when(
         F.col("__n") > 0, F.transform(F.sequence(F.lit(0), F.col("__n") - 1), source_of)).otherwise(
-        F.array().cast("array<string>"))).drop("__plan_key", "__whole", "__rules", "__ends", "__key", "__members", "__h", "__n")
+        F.array().cast("array<string>"))).drop("__plan_key", "__whole", "__rules", "__more", "__ends", "__key", "__members", "__h", "__n")
 
 
 def weights_in_turn(sizes: dict) -> dict:

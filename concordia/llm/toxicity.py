@@ -110,7 +110,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 10.0, ridge: float = 1e-3, min_z: float = 2.5,
+def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: float = 1e-3, min_z: float = 2.5,
         max_features: int = 20000, steps: int = 300, seed: int = 7) -> Model:
     """Fit on labelled word sets (a bounded sample; rows are put in a fixed order first)."""
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
