@@ -51,10 +51,10 @@ def held_out() -> F.Column:
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3) == 1
 
 
-def word_hashes(words) -> np.ndarray:
-    col = pa.array(list(words), pa.large_string())
-    return np.concatenate([S.words(o, d, separators=S.NOT_LETTER)[0] for _, o, d in S.text_slices(col)]) \
-        if len(col) else np.zeros(0, np.uint64)
+def term_features(term: str) -> np.ndarray:
+    """A term's features: the word itself first, then its beginnings."""
+    raw = np.frombuffer(term.encode(), np.uint8)
+    return _row_words(np.array([0, len(raw)]), raw)[0]
 
 
 def _row_words(offs, data):
@@ -126,9 +126,8 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: floa
     q = np.bincount(at, 1 - y[of], minlength=len(vocab))
     odds = np.log((p + .5) / (pos - p + .5)) - np.log((q + .5) / (n - pos - q + .5))
     z = odds / np.sqrt(1 / (p + .5) + 1 / (pos - p + .5) + 1 / (q + .5) + 1 / (n - pos - q + .5))
-    named = [word_hashes(g) for g in groups]
-    terms = np.concatenate(named)
-    is_term = np.isin(vocab, terms)
+    named = [[term_features(t) for t in g] for g in groups]
+    is_term = np.isin(vocab, np.concatenate([f for g in named for f in g]))
     use = (np.abs(z) >= min_z) | is_term
     order = np.flatnonzero(use)
     order = order[np.lexsort((vocab[order], -np.abs(z[order]) - 1e9 * is_term[order]))][:max_features]
@@ -139,37 +138,40 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: floa
     at = slot[at]
     of, at = of[at >= 0], at[at >= 0]
 
-    # counterfactual pairs: feature out, feature in (-1: none); linear scores need only the difference
+    # counterfactual pairs: a term's features go (sign -1), another's of its group come (+1);
+    # linear scores need only the difference
     rng = np.random.default_rng(seed)
-    place = [np.where(np.isin(g, vocab), np.searchsorted(vocab, g), -1) for g in named]
-    group_of = {int(s): k for k, g in enumerate(place) for s in g if s >= 0}
-    has = np.array([int(a) in group_of for a in at], dtype=bool) if group_of else np.zeros(len(at), bool)
-    out, into = [], []
+
+    def slots(features):
+        k = np.minimum(np.searchsorted(vocab, features), len(vocab) - 1)
+        return k[vocab[k] == features]
+
+    place = [[slots(f) for f in g] for g in named]
+    term_of = {int(np.searchsorted(vocab, f[0])): (i, j) for i, g in enumerate(named) for j, f in enumerate(g)
+               if len(slots(f[:1]))}
+    has = np.isin(at, list(term_of))
+    pairs = []
     for a in at[has]:
-        g = place[group_of[int(a)]]
-        out.append(int(a))
-        into.append(int(g[rng.integers(len(g))]))
-    for i in np.setdiff1d(np.arange(n), of[has]):
+        i, j = term_of[int(a)]
+        pairs.append((place[i][j], place[i][rng.integers(len(place[i]))]))
+    for _ in np.setdiff1d(np.arange(n), of[has]):
         g = place[rng.integers(len(place))]
-        out.append(-1)
-        into.append(int(g[rng.integers(len(g))]))
-    out, into = np.array(out, dtype=np.int64), np.array(into, dtype=np.int64)
+        pairs.append((np.zeros(0, np.int64), g[rng.integers(len(g))]))
+    which = np.repeat(np.arange(len(pairs)), [len(o) + len(i) for o, i in pairs])
+    slot_of = np.concatenate([np.concatenate(p) for p in pairs]).astype(np.int64)
+    sign = np.concatenate([np.repeat([-1.0, 1.0], [len(o), len(i)]) for o, i in pairs])
 
     x = odds[at]
     weight = np.where(y == 1, n / (2 * pos), n / (2 * (n - pos)))
     m = len(vocab)
     w, b = np.full(m, 0.1), 0.0
     gw, gb = np.full(m, 1e-8), 1e-8
-    scale = np.append(odds, 0.0)
     for _ in range(steps):
         s = np.bincount(of, x * w[at], minlength=n) + b
         e = weight * (1 / (1 + np.exp(-np.clip(s, -40, 40))) - y) / n
         grad = np.bincount(at, x * e[of], minlength=m) + ridge * w
-        ws = np.append(w, 0.0) * scale
-        gap = ws[into] - ws[out]
-        pen = np.bincount(np.where(into < 0, m, into), gap * scale[into], minlength=m + 1) \
-            - np.bincount(np.where(out < 0, m, out), gap * scale[out], minlength=m + 1)
-        grad += 2 * strength * pen[:m] / max(1, len(gap))
+        gap = np.bincount(which, sign * (w * odds)[slot_of], minlength=len(pairs))
+        grad += 2 * strength / len(pairs) * np.bincount(slot_of, sign * gap[which] * odds[slot_of], minlength=m)
         gw += grad * grad
         gb += e.sum() ** 2
         w -= 0.3 * grad / np.sqrt(gw)
