@@ -95,14 +95,16 @@ def q_a1_linear_shapley(spark, sf):
                     F.round("shap_value", R6).alias("shap_value"))
 
 
-def _merged(spark, sf, with_cum=True):
+def _merged(spark, sf, with_cum=True, lime=None):
+    """``lime``: function of (train, test) giving the surrogate's table, or None."""
     train, test = split_frames(spark, sf)
     bgn = ex.number_background(train)
     shap = ex.linear_shap(model_for("y"), train, test, FEATURES)
-    abl = ex.marginal_ablation(model_for("y"), train, test, FEATURES, N_DRAWS, SEED_A5, background=bgn)
+    # read three times (join, order of the steps, per-step lookup): computed once
+    abl = materialize(ex.marginal_ablation(model_for("y"), train, test, FEATURES, N_DRAWS, SEED_A5, background=bgn))
     cum = ex.cumulative_ablation(model_for("y"), train, test, FEATURES, abl, N_DRAWS, SEED_A6,
                                  background=bgn) if with_cum else None
-    return mg.merge_attributions(shap=shap, lime=None, ablation=abl, cumulative=cum,
+    return mg.merge_attributions(shap=shap, lime=lime(train, test) if lime else None, ablation=abl, cumulative=cum,
                                  target_context="y")
 
 
@@ -111,21 +113,10 @@ def _r6_merged(m):
                       for c in m.columns])
 
 
-def q_j1_merge_attributions(spark, sf):
-    return _r6_merged(_merged(spark, sf))
-
-
 def q_j4_missing_source_defaults(spark, sf):
     return _r6_merged(_merged(spark, sf, with_cum=False))
 
 
-def q_g6_global_importance(spark, sf):
-    m = _merged(spark, sf)
-    g = mg.global_importance(m, ["Target_Context"])
-    return g.select("Target_Context", "feature",
-                    *[F.round(c, R6).alias(c) for c in g.columns if c not in ("Target_Context", "feature")])
-
-
 def q_v6_ablation_curve(spark, sf):
     pts = mg.ablation_curve(_merged(spark, sf), max_features=20)
     return pts.select("x_step", "feature", *[F.round(k, R6).alias(k) for k in
@@ -181,9 +172,7 @@ QUERIES = {
     "a7_least_to_most": q_a7_least_to_most,
     "a6_cumulative_ablation": q_a6_cumulative_ablation,
     "a8_multi_target_attributions": q_a8_multi_target_attributions,
-    "j1_merge_attributions": q_j1_merge_attributions,
     "j4_missing_source_defaults": q_j4_missing_source_defaults,
-    "g6_global_importance": q_g6_global_importance,
     "v6_ablation_curve": q_v6_ablation_curve,
     "v7_curve_annotations": q_v7_curve_annotations,
 }
@@ -261,15 +250,19 @@ def _shap_cte():
              FROM te, mu m, {FEAT_SQL})"""
 
 
-def _merged_sql(with_cum=True):
+def _merged_sql(with_cum=True, with_lime=False):
+    lime = "l.lime_value" if with_lime else "0.0::DOUBLE AS lime_value"
+    lime_base = "l.base_value_lime" if with_lime else "NULL::DOUBLE AS base_value_lime"
+    lime_join = f"LEFT JOIN (SELECT * FROM lime JOIN {FEAT_SQL} USING (j)) l ON l.id = s.id AND l.feature = s.feature" \
+        if with_lime else ""
     cum_cols = ("coalesce(c.cum_ablation_value, NULL) AS cum_ablation_value, c.original_prediction, "
                 "c.current_prediction") if with_cum else \
         "0.0::DOUBLE AS cum_ablation_value, NULL::DOUBLE AS original_prediction, NULL::DOUBLE AS current_prediction"
     cum_join = "LEFT JOIN a6 c ON c.id = s.id AND c.feature = s.feature" if with_cum else ""
     return f"""merged AS (SELECT s.id, 'y' AS Target_Context, s.feature, s.feature_value, s.shap_value,
-                  0.0::DOUBLE AS lime_value, a.ablation_value, {cum_cols},
-                  s.base_value AS base_value_shap, NULL::DOUBLE AS base_value_lime
-           FROM shap s LEFT JOIN a5 a ON a.id = s.id AND a.feature = s.feature {cum_join})"""
+                  {lime}, a.ablation_value, {cum_cols},
+                  s.base_value AS base_value_shap, {lime_base}
+           FROM shap s LEFT JOIN a5 a ON a.id = s.id AND a.feature = s.feature {cum_join} {lime_join})"""
 
 
 def _round_all(cols):
@@ -347,16 +340,8 @@ ORACLES = {
         SELECT 'has_R' AS target_context, id, feature, round(ablation_value, {R6}) AS ablation_value FROM ar
         UNION ALL SELECT 'has_A', id, feature, round(ablation_value, {R6}) FROM aa
         UNION ALL SELECT 'has_N', id, feature, round(ablation_value, {R6}) FROM an""",
-    "j1_merge_attributions": f"""WITH {BASE_CTE}, {_a5_cte()}, {_A7_CTE}, {_a6_cte()}, {_shap_cte()}, {_merged_sql()}
-        SELECT id, Target_Context, feature, {_round_all(MERGED_NUM)} FROM merged""",
     "j4_missing_source_defaults": f"""WITH {BASE_CTE}, {_a5_cte()}, {_shap_cte()}, {_merged_sql(False)}
         SELECT id, Target_Context, feature, {_round_all(MERGED_NUM)} FROM merged""",
-    "g6_global_importance": f"""WITH {BASE_CTE}, {_a5_cte()}, {_A7_CTE}, {_a6_cte()}, {_shap_cte()}, {_merged_sql()}
-        SELECT Target_Context, feature,
-               round(avg(abs(shap_value)), {R6}) AS SHAP, round(avg(abs(lime_value)), {R6}) AS LIME,
-               round(avg(ablation_value), {R6}) AS Ablation, round(avg(cum_ablation_value), {R6}) AS Cum_Ablation,
-               round(avg(current_prediction), {R6}) AS Curr_Pred, round(avg(original_prediction), {R6}) AS Org_Pred
-        FROM merged GROUP BY ALL""",
     "v6_ablation_curve": f"""WITH {_CURVE}
         SELECT x_step, feature, round(mean_ablation, {R6}) AS mean_ablation, round(mean_jump, {R6}) AS mean_jump,
                round(y, {R6}) AS y FROM curve""",
