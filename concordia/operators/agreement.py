@@ -115,8 +115,11 @@ def spearman(points: DataFrame) -> DataFrame:
     division: the same double in every engine, whatever the summation order.
     """
     n = F.count(F.lit(1))
-    d2 = F.sum(((F.col("xr") - F.col("yr")) * (F.col("xr") - F.col("yr"))).cast("bigint"))
-    den = (n * (n * n - 1)).cast("double")
+    # n^3 and the sum of squares leave 64 bits above some two million attributes: exact decimals
+    gap = (F.col("xr") - F.col("yr")).cast("decimal(18,0)")
+    d2 = F.sum((gap * gap).cast("decimal(28,0)"))
+    wide = n.cast("decimal(12,0)")
+    den = ((wide * wide - 1).cast("decimal(25,0)") * wide).cast("double")
     rho = F.when(n >= 2, F.lit(1.0) - (F.lit(6.0) * d2.cast("double")) / den)
     return points.groupBy(*GROUP, "pair").agg(rho.alias("value")) \
         .withColumn("metric", F.lit("Spearman"))

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import quoted
 from ..functions.ordering import row_number
+from ..functions.quantiles import exact_quantiles, modes
 from ..functions.stats import safe_corr
 from .clean import try_double
 
@@ -28,7 +30,8 @@ def _is_string(df: DataFrame, c: str) -> bool:
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))
+    """Booleans are categorical: they are filled by their mode."""
+    return isinstance(df.schema[c].dataType, T.NumericType)
 
 
 # ------------------------------------------------------------------ H1 .. H4
@@ -54,11 +57,11 @@ def imputer_decisions(train: DataFrame, cols: Sequence[str], threshold: float =
             exprs.append(F.avg(try_double(c).isNull().cast("double")).alias(f"u__{c}"))
         else:
             exprs.append(F.lit(None).cast("double").alias(f"u__{c}"))
-        exprs.append(F.avg(F.col(c).isNull().cast("double")).alias(f"n__{c}"))
+        exprs.append(F.avg(quoted(c).isNull().cast("double")).alias(f"n__{c}"))
     row = train.agg(*exprs)
-    stack = "stack({n}, {items}) as (position, `column`, unparsable_share, raw_null_share)".format(
-        n=len(cols), items=", ".join(f"{i}, '{c}', `u__{c}`, `n__{c}`" for i, c in enumerate(cols)))
-    long = row.selectExpr(stack)
+    long = row.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("position"), F.lit(c).alias("column"), quoted(f"u__{c}").alias("unparsable_share"),
+        quoted(f"n__{c}").alias("raw_null_share")) for i, c in enumerate(cols)])))
     promoted = F.coalesce(F.col("unparsable_share") < threshold, F.lit(False))
     null_share = F.when(promoted, F.col("unparsable_share")).otherwise(F.col("raw_null_share"))
     return long.select("position", "column", "unparsable_share",
@@ -73,25 +76,22 @@ def fit_imputer(train: DataFrame, cols: Sequence[str], threshold: float = 0.5) -
     promoted_df = _promote(train, promoted)
     num = [c for c in kept if _is_numeric(promoted_df, c)]
     cat = [c for c in kept if c not in num]
-    aggs = [F.avg(c).alias(f"m__{c}") for c in num] + \
-           [F.mode(c, True).alias(f"o__{c}") for c in cat]
-    stats = promoted_df.agg(*aggs).first() if aggs else None
-    means = {c: stats[f"m__{c}"] for c in num} if stats else {}
-    modes = {c: stats[f"o__{c}"] for c in cat} if stats else {}
-    return FittedImputer(list(cols), promoted, kept, means, modes)
+    stats = promoted_df.agg(*[F.avg(quoted(c)).alias(f"m__{c}") for c in num]).first() if num else None
+    means = {c: stats[f"m__{c}"] for c in num}
+    return FittedImputer(list(cols), promoted, kept, means, modes(promoted_df, cat))
 
 
 def _promote(df: DataFrame, promoted: Sequence[str]) -> DataFrame:
     ps = set(promoted)
-    return df.select(*[try_double(c).alias(c) if c in ps else F.col(c) for c in df.columns])
+    return df.select(*[try_double(c).alias(c) if c in ps else quoted(c) for c in df.columns])
 
 
 def apply_imputer(df: DataFrame, fitted: FittedImputer, passthrough: Sequence[str] = ()) -> DataFrame:
     """Promote, keep the train survivors (train order), fill mean / mode."""
     p = _promote(df, [c for c in fitted.promoted if c in df.columns])
-    out = [F.col(c) for c in passthrough]
+    out = [quoted(c) for c in passthrough]
     for c in fitted.kept:
-        src = F.col(c) if c in p.columns else F.lit(None)
+        src = quoted(c) if c in p.columns else F.lit(None)
         if c in fitted.means:
             fill = fitted.means[c]
             out.append(F.coalesce(src.cast("double"), F.lit(fill).cast("double")).alias(c))
@@ -102,17 +102,31 @@ def apply_imputer(df: DataFrame, fitted: FittedImputer, passthrough: Sequence[st
 
 
 # ------------------------------------------------------------------ N1, N2
-MAX_LEVELS = 10_000
+def level_table(train: DataFrame, cols: Sequence[str], drop_first: bool = False) -> DataFrame:
+    """Fitted levels as a table ``(column, level)``, whatever their number: distinct non-NULL
+    train values as text, without the least one of each column when ``drop_first``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("level")) for c in cols])
+    levels = train.select(F.explode(cells).alias("c")).select("c.column", "c.level").where("level IS NOT NULL").distinct()
+    if not drop_first:
+        return levels
+    least = levels.groupBy("column").agg(F.min("level").alias("least"))  # one row a column
+    return levels.join(F.broadcast(least), "column").where("level > least").select("column", "level")
 
 
-def fit_levels(train: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
-    """Sorted distinct non-NULL train levels per column (size-checked)."""
-    counts = train.agg(*[F.countDistinct(c).alias(c) for c in cols]).first()
-    too_many = [c for c in cols if counts[c] > max_levels]
-    if too_many:
-        raise ValueError(f"too many levels for one-hot columns {too_many}; use StringIndexer + OneHotEncoder")
-    row = train.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+def one_hot_long(df: DataFrame, id_col: str, cols: Sequence[str], levels: DataFrame) -> DataFrame:
+    """Sparse one-hot, one row ``(id, column, level)`` per 1: no wide frame, so any number of levels."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("level")) for c in cols])
+    return df.select(quoted(id_col), F.explode(cells).alias("c")).select(quoted(id_col), "c.column", "c.level") \
+        .join(levels, ["column", "level"], "left_semi").select(quoted(id_col), "column", "level")
+
+
+def fit_levels(train: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct non-NULL train levels per column, for the wide form: one column a level.
+
+    A wide frame's schema is built on the driver, so its levels are too; for
+    columns of many levels use :func:`level_table` and :func:`one_hot_long`.
+    """
+    return {c: sorted(r[0] for r in train.select(quoted(c)).where(quoted(c).isNotNull()).distinct().collect()) for c in cols}
 
 
 def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = False,
@@ -122,11 +136,11 @@ def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = False,
     out = []
     for c in df.columns:
         if c not in levels:
-            out.append(F.col(c))
+            out.append(quoted(c))
             continue
         lv = levels[c][1:] if drop_first else levels[c]
         for v in lv:
-            out.append(F.when(F.col(c) == F.lit(v), 1).otherwise(0).alias(f"{prefix.get(c, c)}_{v}"))
+            out.append(F.when(quoted(c) == F.lit(v), 1).otherwise(0).alias(f"{prefix.get(c, c)}_{v}"))
     return df.select(*out)
 
 
@@ -161,7 +175,7 @@ def correlation_table(train: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
     if not pairs:
         return train.sparkSession.createDataFrame([], "i int, j int, r double")
-    row = train.agg(*[safe_corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))
+    row = train.agg(*[safe_corr(quoted(cols[i]).cast("double"), quoted(cols[j]).cast("double"))
                       .alias(f"r_{i}_{j}") for i, j in pairs])
     stack = "stack({n}, {items}) as (i, j, r)".format(
         n=len(pairs), items=", ".join(f"{i}, {j}, `r_{i}_{j}`" for i, j in pairs))
@@ -191,23 +205,15 @@ class FittedBins:
     edges: dict  # column -> sorted unique quantile edges (incl. min and max)
 
 
-def fit_quantile_bins(train: DataFrame, cols: Sequence[str], min_distinct: int = 10,
-                      exact: bool = True, accuracy: int = 10000) -> FittedBins:
+def fit_quantile_bins(train: DataFrame, cols: Sequence[str], min_distinct: int = 10) -> FittedBins:
     """Columns with more than ``min_distinct`` distinct train values get 4
     quantile bins (linear interpolation), duplicate edges dropped; columns
     left with fewer than 2 bins stay untouched."""
-    probs = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    aggs = []
-    for c in cols:
-        aggs.append(F.countDistinct(c).alias(f"d__{c}"))
-        q = F.percentile(F.col(c), probs) if exact else F.percentile_approx(F.col(c), probs, accuracy)
-        aggs.append(q.alias(f"q__{c}"))
-    row = train.agg(*aggs).first()
     edges = {}
-    for c in cols:
-        if row[f"d__{c}"] <= min_distinct or row[f"q__{c}"] is None:
+    for c, (distinct, q) in exact_quantiles(train, cols, (0.0, 0.25, 0.5, 0.75, 1.0)).items():
+        if distinct <= min_distinct or q is None:
             continue
-        u = sorted(set(float(x) for x in row[f"q__{c}"]))
+        u = sorted(set(float(x) for x in q))
         if len(u) - 1 >= 2:
             edges[c] = u
     return FittedBins(edges)
@@ -217,7 +223,7 @@ def bin_label(col, edges: Sequence[float]) -> Column:
     """Right-closed bins with open outer edges; NULL stays NULL."""
     inner = edges[1:-1]
     labels = BIN_LABELS[: len(edges) - 1]
-    x = F.col(col) if isinstance(col, str) else col
+    x = quoted(col) if isinstance(col, str) else col
     e = F.when(x.isNull(), F.lit(None).cast("string"))
     for edge, lab in zip(inner, labels):
         e = e.when(x <= F.lit(float(edge)), F.lit(lab))
@@ -225,5 +231,5 @@ def bin_label(col, edges: Sequence[float]) -> Column:
 
 
 def apply_quantile_bins(df: DataFrame, fitted: FittedBins) -> DataFrame:
-    return df.select(*[bin_label(c, fitted.edges[c]).alias(c) if c in fitted.edges else F.col(c)
+    return df.select(*[bin_label(c, fitted.edges[c]).alias(c) if c in fitted.edges else quoted(c)
                        for c in df.columns])

@@ -13,7 +13,7 @@ Work grows as rows x features x draws; the plan is
 
 with one shuffle for the background join and one for the average. The
 background side is broadcast only when its row count (known from the
-numbering) is under ``broadcast_rows``.
+numbering) is under ``broadcast_bytes``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import MIX_MOD, draw_index, uhash32
 from ..functions.ordering import row_number
 
-BROADCAST_ROWS = 2_000_000
+#: Size up to which a background table is broadcast; beyond it the join is shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def _names(feature_names: Sequence[str]):
@@ -56,8 +57,9 @@ def spread(df: DataFrame, key: str = "id") -> DataFrame:
     return df.repartition(n, key)
 
 
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
+def _maybe_broadcast(df: DataFrame, rows: int, width: int, limit: int) -> DataFrame:
+    """Broadcast when ``rows`` rows of ``width`` 8-byte cells stay under ``limit`` bytes."""
+    return F.broadcast(df) if rows * width * 8 <= limit else df
 
 
 # ----------------------------------------------------------------- X5, X6, J9
@@ -81,7 +83,7 @@ def joint_draws(test: DataFrame, steps: int, n_draws: int, n_bg: int, seed) -> D
 
 # ------------------------------------------------------------------------ A5
 def marginal_ablation(scorer, train: DataFrame, test: DataFrame, feature_names: Sequence[str],
-                      n_draws: int = 50, seed="ablation", broadcast_rows: int = BROADCAST_ROWS,
+                      n_draws: int = 50, seed="ablation", broadcast_bytes: int = BROADCAST_BYTES,
                       background=None) -> DataFrame:
     """value = |f(x) - mean_d f(x with x_j := background draw)| per (id, feature).
 
@@ -91,7 +93,7 @@ def marginal_ablation(scorer, train: DataFrame, test: DataFrame, feature_names:
     bg, n_bg = background or number_background(train)
     base = base_value(scorer, train)
     bg_long = bg.select("bidx", F.posexplode("x").alias("j", "v"))
-    bg_long = _maybe_broadcast(bg_long, n_bg * p, broadcast_rows)
+    bg_long = _maybe_broadcast(bg_long, n_bg * p, 4, broadcast_bytes)
     draws = marginal_draws(spread(test), p, n_draws, n_bg, seed)
     pert = draws.join(bg_long, ["j", "bidx"]) \
         .withColumn("xp", F.transform("x", lambda e, k: F.when(k == F.col("j"), F.col("v")).otherwise(e)))
@@ -107,7 +109,7 @@ def marginal_ablation(scorer, train: DataFrame, test: DataFrame, feature_names:
 
 
 def marginal_ablation_exact(scorer, train: DataFrame, test: DataFrame, feature_names: Sequence[str],
-                            broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                            broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Expectation form of A5: replace the draws by the weighted distinct
     train values of each feature (deterministic, no sampling error)."""
     p = len(feature_names)
@@ -116,7 +118,7 @@ def marginal_ablation_exact(scorer, train: DataFrame, test: DataFrame, feature_n
     marg = train.select(F.posexplode("x").alias("j", "v")).groupBy("j", "v") \
         .agg((F.count(F.lit(1)) / F.lit(float(n_train))).alias("w"))
     n_vals = marg.count()
-    marg = _maybe_broadcast(marg, n_vals, broadcast_rows)
+    marg = _maybe_broadcast(marg, n_vals, 4, broadcast_bytes)
     rows = spread(test).select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("j")) \
         .join(marg, "j") \
         .withColumn("xp", F.transform("x", lambda e, k: F.when(k == F.col("j"), F.col("v")).otherwise(e)))
@@ -143,7 +145,7 @@ def least_to_most(ablation: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ A6
 def cumulative_ablation(scorer, train: DataFrame, test: DataFrame, feature_names: Sequence[str],
                         ablation: DataFrame, n_draws: int = 50, seed="cumulative",
-                        broadcast_rows: int = BROADCAST_ROWS, background=None) -> DataFrame:
+                        broadcast_bytes: int = BROADCAST_BYTES, background=None) -> DataFrame:
     """Mask the s least important features jointly (fresh joint draws per
     step), value = |pred(step s-1) - pred(step s)|, step 0 = original.
 
@@ -157,7 +159,7 @@ def cumulative_ablation(scorer, train: DataFrame, test: DataFrame, feature_names
     idx_at_step = F.array(*[F.lit(feature_names.index(n)) for n in sorted(feature_names, key=lambda n: order[n])])
     bg, n_bg = background or number_background(train)
     base = base_value(scorer, train)
-    bgr = _maybe_broadcast(bg.withColumnRenamed("x", "xb"), n_bg, broadcast_rows)
+    bgr = _maybe_broadcast(bg.withColumnRenamed("x", "xb"), n_bg, p + 4, broadcast_bytes)
     draws = joint_draws(spread(test), p, n_draws, n_bg, seed)
     pert = draws.join(bgr, "bidx") \
         .withColumn("xp", F.transform("x", lambda e, k: F.when(

@@ -53,21 +53,22 @@ def specialist_predictions(train: DataFrame, test: DataFrame, categories: Sequen
                            specialists: Callable, threshold: float = 0.5) -> DataFrame:
     """Specialists per label, trained on rows whose true gate is 1
     (skipped unless more than 5 such rows), applied to rows whose predicted
-    gate is 1; every other test row gets 0. Output: id, category, label,
-    gate_pred, score, final_pred."""
+    gate is 1; every other test row gets 0. A category without enough rows has
+    no specialists: all its labels are NULL scores and 0. Output: id, category,
+    label, gate_pred, score, final_pred, a row per test row and label."""
     out = None
     for cat in categories:
         gcol = f"Gatekeeper_{cat.name}_Score"
         pos_train = train.where(or_label(cat.labels) == 1)
-        if pos_train.count() <= MIN_SPECIALIST_ROWS:  # guard: one scalar count
-            continue
-        gated = test.withColumn("gate_pred", (F.col(gcol) >= threshold).cast("int"))
+        gated = test.select("id", "x", F.coalesce((F.col(gcol) >= threshold).cast("int"), F.lit(0)).alias("gate_pred"))
+        enough = pos_train.count() > MIN_SPECIALIST_ROWS  # guard: one scalar count
         for lab in cat.labels:
-            scorer = specialists(cat, lab, pos_train)
-            s = scorer.predict(gated.select("id", "x", "gate_pred"), "x", out="score")
-            s = s.select("id", F.lit(cat.name).alias("category"), F.lit(lab).alias("label"), "gate_pred",
-                         F.when(F.col("gate_pred") == 1, F.col("score")).alias("score"),
-                         F.when(F.col("gate_pred") == 1, (F.col("score") >= threshold).cast("int"))
-                         .otherwise(F.lit(0)).alias("final_pred"))
-            out = s if out is None else out.unionByName(s)
+            tag = [F.lit(cat.name).alias("category"), F.lit(lab).alias("label")]
+            unscored = (gated.where("gate_pred = 0") if enough else gated).select(
+                "id", *tag, "gate_pred", F.lit(None).cast("double").alias("score"), F.lit(0).alias("final_pred"))
+            if enough:  # only gated rows are scored
+                s = specialists(cat, lab, pos_train).predict(gated.where("gate_pred = 1"), "x", out="score")
+                unscored = s.select("id", *tag, "gate_pred", F.col("score").cast("double").alias("score"),
+                                    (F.col("score") >= threshold).cast("int").alias("final_pred")).unionByName(unscored)
+            out = unscored if out is None else out.unionByName(unscored)
     return out

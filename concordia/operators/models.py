@@ -75,8 +75,8 @@ def balance_weights(df: DataFrame, label: str, mode: str = "ratio", out: str = "
         n = F.sum("__nc").over(_all())
         k = F.count(F.lit(1)).over(_all())
         w = counts.select(label, (n / (k * F.col("__nc"))).alias(out))
-    # one row per class: AQE broadcasts it from its measured (tiny) size
-    return df.join(w, label)
+    # one row a class; without the broadcast the train rows would be dealt by their few label values
+    return df.join(F.broadcast(w), label)
 
 
 def _all():

@@ -52,7 +52,7 @@ def auroc(df: DataFrame, key: Sequence[str], label="label", score="score") -> Da
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u")) \
         .select(*key, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-                             F.col("u") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
+                             F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"))
 
 
 def metric_rows(df: DataFrame, key: Sequence[str], label="label", pred="prediction",

@@ -25,10 +25,11 @@ def hash_split(key: str, seed: int = 42, test_share: float = 0.3,
 def exact_downsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all if fewer), chosen by smallest hash.
 
-    ``orderBy(...).limit(n)`` plans as a distributed top-k (TakeOrdered):
-    each task keeps its n best rows, only those reach the final merge.
+    Rows are numbered in hash order by distributed prefix sums, so no task
+    ever holds the n chosen rows.
     """
-    return df.withColumn("__h", uhash32(seed, key)).orderBy("__h", key).limit(n).drop("__h")
+    ranked = row_number(df.withColumn("__h", uhash32(seed, key)), [F.col("__h").asc(), F.col(key).asc()], out="__rk")
+    return ranked.where(F.col("__rk") <= n).drop("__h", "__rk")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,
@@ -44,7 +45,8 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,
     w_all = Window.partitionBy()  # class table: one row per class
     n = F.sum("__c").over(w_all)
     n_test = F.ceil(F.lit(float(test_share)) * n)
-    share = n_test * F.col("__c") / n
+    # products of two counts leave 64 bits at some 10^9 rows
+    share = n_test.cast("decimal(38,0)").cast("double") * F.col("__c") / n
     alloc = classes.select(label, "__c", n_test.alias("__nt"), F.floor(share).alias("__base"),
                            (share - F.floor(share)).alias("__frac"))
     alloc = alloc.withColumn("__rest", F.col("__nt") - F.sum("__base").over(w_all)) \
@@ -53,9 +55,9 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,
                                  .otherwise(0)).alias("__t"))
     ranked = row_number(df.withColumn("__h", uhash32(seed, key)),
                         [F.col("__h").asc(), F.col(key).asc()], partition_cols=[label], out="__rk")
-    # one row per class; joined without a hint so AQE broadcasts it only when
-    # its measured size is small
-    return ranked.join(alloc, label) \
+    # one row a class (a handful: every class needs a share of the test rows); without the
+    # broadcast the whole table would be dealt by its few label values
+    return ranked.join(F.broadcast(alloc), label) \
         .withColumn(out, F.when(F.col("__rk") <= F.col("__t"), F.lit("test")).otherwise(F.lit("train"))) \
         .drop("__h", "__rk", "__t")
 

@@ -48,7 +48,7 @@ def q_x5_background_draws(spark, sf):
     train, test = split_frames(spark, sf)
     bg, n = ex.number_background(train)
     d = ex.marginal_draws(test, P, N_DRAWS, n, SEED_A5)
-    bl = ex._maybe_broadcast(bg.select("bidx", F.posexplode("x").alias("j", "v")), n * P, ex.BROADCAST_ROWS)
+    bl = ex._maybe_broadcast(bg.select("bidx", F.posexplode("x").alias("j", "v")), n * P, 4, ex.BROADCAST_BYTES)
     return d.join(bl, ["j", "bidx"]).groupBy("id", "j").agg(
         F.round(F.sum("v"), R6).alias("drawn_sum"), F.sum("bidx").alias("bidx_sum"))
 

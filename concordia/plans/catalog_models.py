@@ -116,9 +116,9 @@ def _spec_sql():
             p = ce._prob(lab, _X)
             parts.append(f"""SELECT t.id, '{cat}' AS category, '{lab}' AS label,
                 cast(g.{gcol} >= 0.5 AS integer) AS gate_pred,
-                CASE WHEN g.{gcol} >= 0.5 THEN round({p}, {R6}) END AS score,
-                CASE WHEN g.{gcol} >= 0.5 THEN cast({p} >= 0.5 AS integer) ELSE 0 END AS final_pred
-                FROM te t JOIN g ON g.id = t.id WHERE {guard}""")
+                CASE WHEN g.{gcol} >= 0.5 AND {guard} THEN round({p}, {R6}) END AS score,
+                CASE WHEN g.{gcol} >= 0.5 AND {guard} THEN cast({p} >= 0.5 AS integer) ELSE 0 END AS final_pred
+                FROM te t JOIN g ON g.id = t.id""")
     return " UNION ALL ".join(parts)
 
 

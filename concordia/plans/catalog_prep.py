@@ -168,7 +168,8 @@ def q_p14_align_columns(spark, sf):
     r = frames.order_risk_split(_t(spark, sf))
     test = r.where(F.col("split") == "test").select("o_orderkey", "n_lines", "qty_sum",
                                                     F.lit(1.0).alias("zz_extra"))
-    return cl.align_columns(test, ["n_lines", "price_sum", "qty_sum"], keep=["o_orderkey"])
+    train = r.where(F.col("split") == "train").select("n_lines", "price_sum", "qty_sum")
+    return cl.align_columns(test, train, keep=["o_orderkey"])
 
 
 # ------------------------------------------------------------------- P16, P17
@@ -389,7 +390,7 @@ ORACLES = {
         f"SELECT '{c}' AS col_name, count(*) FILTER (WHERE {c} IS NULL OR {c} IN {TOKENS_SQL}) AS n_null FROM d"
         for c in frames.DIRTY_TEXT_COLS),
     "p1_target_split": f"""WITH {_DN} SELECT o_orderkey, status_txt,
-        cast(coalesce(try_cast(urgent_note AS double), 0) AS integer) AS urgent_note, has_R_txt FROM dn""",
+        cast(coalesce(try_cast(urgent_note AS double), 0) AS bigint) AS urgent_note, has_R_txt FROM dn""",
     "p2_drop_trim_columns": f"WITH {_OR} SELECT o_orderkey, n_lines, qty_sum, o_orderpriority FROM order_risk",
     "p4_train_only_filters": f"""WITH {_DN} SELECT split, count(*) AS n_rows, sum(o_orderkey) AS key_sum FROM dn
         WHERE split <> 'train' OR (n_lines IS NOT NULL AND c_mktsegment IS NOT NULL
@@ -421,7 +422,7 @@ ORACLES = {
         coalesce(try_cast(urgent_note AS double), 0.0) AS urgent_note,
         coalesce(try_cast(o_orderpriority AS double), 0.0) AS o_orderpriority
         FROM ({frames.SQL_ORDER_RISK_DIRTY}) d""",
-    "p14_align_columns": f"""WITH {_ORS} SELECT o_orderkey, n_lines, 0 AS price_sum, qty_sum
+    "p14_align_columns": f"""WITH {_ORS} SELECT o_orderkey, n_lines, 0.0::DOUBLE AS price_sum, qty_sum
         FROM order_risk_split WHERE split = 'test'""",
     "p17_or_label_gate": f"""WITH {_ORS}, g AS (SELECT o_orderkey, split, greatest(has_R, has_A) AS gate,
             cast({frames.sql_linear_margin('has_R')} >= 0 OR {frames.sql_linear_margin('has_A')} >= 0 AS integer) AS gate_pred

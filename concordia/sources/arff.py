@@ -50,10 +50,16 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     schema = parse_header(lines)
     data = text.where((F.length(trimmed) > 0) & ~trimmed.startswith("@") & ~trimmed.startswith("%"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    parsed = data.select(F.from_csv(F.col("value"), ddl, {"nullValue": "?", "quote": "'"}).alias("r"))
+    parsed = data.select(F.from_csv(F.col("value"), ddl, {"nullValue": "?", "quote": "'", "escape": "\\"}).alias("r"))
     return parsed.select("r.*")
 
 
+def _text_cell(c):
+    """Quoted, with backslashes and quotes escaped; line breaks have no form in a line-based file."""
+    text = F.regexp_replace(c.cast("string"), r"([\\'])", r"\\$1")
+    return F.concat(F.lit("'"), F.translate(text, "\r\n", "  "), F.lit("'"))
+
+
 def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
     """Header as the first part file, data lines after it."""
     spark = df.sparkSession
@@ -64,7 +70,7 @@ def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
     head.append("@data")
     header = spark.createDataFrame([(h,) for h in head], "value string").coalesce(1)
     cells = [F.coalesce(F.col(f.name).cast("string"), F.lit("?")) if isinstance(f.dataType, T.NumericType)
-             else F.coalesce(F.concat(F.lit("'"), F.col(f.name), F.lit("'")), F.lit("?"))
+             else F.coalesce(_text_cell(F.col(f.name)), F.lit("?"))
              for f in df.schema.fields]
     body = df.select(F.concat_ws(",", *cells).alias("value"))
     header.unionByName(body).write.mode("overwrite").text(path)

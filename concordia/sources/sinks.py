@@ -39,8 +39,7 @@ def write_attributions(df: DataFrame, path: str, partition_cols: Sequence[str] =
                        fmt: str = "parquet") -> None:
     """One table partitioned by (dataset, target_context); only the
     partitions present in ``df`` are replaced."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(*partition_cols).format(fmt).save(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols).format(fmt).save(path)
 
 
 def read_attributions(spark, path: str, fmt: str = "parquet") -> DataFrame:
@@ -59,6 +58,18 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFr
         *[F.col(f"__b.{c}").alias(c) for c in others if c != order_col])
 
 
+def write_metrics(rows: DataFrame, path: str, keys: Sequence[str] = ("dataset", "target", "classifier"),
+                  run_col: str = "run", fmt: str = "parquet") -> None:
+    """Append a run's metric rows; :func:`read_metrics` keeps each key's newest run."""
+    rows.select(*keys, run_col, *[c for c in rows.columns if c not in keys and c != run_col]) \
+        .write.mode("append").format(fmt).save(path)
+
+
+def read_metrics(spark, path: str, keys: Sequence[str] = ("dataset", "target", "classifier"),
+                 run_col: str = "run", fmt: str = "parquet") -> DataFrame:
+    return latest_per_key(spark.read.format(fmt).load(path), keys, run_col)
+
+
 # ------------------------------------------------------------------------ S14
 def write_summary(summary_wide: DataFrame, path: str, fmt: str = "csv") -> None:
     w = summary_wide.coalesce(1).write.mode("overwrite").format(fmt)  # one row per dataset

@@ -24,6 +24,34 @@ def test_arff_header_and_missing(spark):
     assert rows == [(1.5, "x", 2.0), (None, "y", 3.0)]
 
 
+def test_arff_round_trips_quotes_and_marks(spark):
+    rows = [(1.0, "it's"), (2.0, "a'b,c"), (3.0, "100%"), (4.0, "me@x"), (5.0, "back\\slash"), (None, None), (6.0, "'q'")]
+    path = os.path.join(tempfile.mkdtemp(prefix="arff-test-"), "t")
+    arff.write_arff(spark.createDataFrame(rows, "n double, s string"), path)
+    got = [tuple(r) for r in arff.read_arff(spark, path).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_metrics_sink_appends_and_reads_the_newest_run(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="metrics-test-"), "t")
+    cols = "dataset string, target string, classifier string, run int, acc double"
+    sinks.write_metrics(spark.createDataFrame([("d", "t", "c", 1, 0.5), ("d", "u", "c", 1, 0.1)], cols), path)
+    sinks.write_metrics(spark.createDataFrame([("d", "t", "c", 2, 0.4)], cols), path)
+    got = {(r["target"], r["run"], r["acc"]) for r in sinks.read_metrics(spark, path).collect()}
+    assert got == {("t", 2, 0.4), ("u", 1, 0.1)}
+
+
+def test_dynamic_overwrite_leaves_the_session_alone(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="attr-test-"), "t")
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    rows = lambda d, v: spark.createDataFrame([(d, "t", v)], "dataset string, target_context string, v int")
+    sinks.write_attributions(rows("a", 1).unionByName(rows("b", 1)), path)
+    sinks.write_attributions(rows("a", 2), path)
+    assert {(r["dataset"], r["v"]) for r in sinks.read_attributions(spark, path).collect()} == {("a", 2), ("b", 1)}
+    assert spark.conf.get(key) == before
+
+
 def test_latest_per_key_keeps_newest_run(spark):
     df = spark.createDataFrame([("d", "t", 1, 0.5), ("d", "t", 2, 0.7), ("d", "u", 1, 0.1)],
                                "dataset string, target string, run int, acc double")
@@ -62,4 +90,5 @@ def test_specialists_skipped_below_guard(spark):
     gate = {"c": LinearLogit(5.0, (0.0,))}
     tr, te = hy.append_gate_scores(train, test, cats, gate)
     out = hy.specialist_predictions(tr, te, cats, lambda c, lab, pos: LinearLogit(0.0, (1.0,)))
-    assert out is None   # only 3 positive train rows: no specialist is fitted
+    # only 3 positive train rows: no specialist is fitted, the test row stays
+    assert [tuple(r) for r in out.collect()] == [(100, "c", "lab", 1, None, 0)]
