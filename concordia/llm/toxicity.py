@@ -132,6 +132,8 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: floa
     order = np.flatnonzero(use)
     order = order[np.lexsort((vocab[order], -np.abs(z[order]) - 1e9 * is_term[order]))][:max_features]
     order = np.sort(order)
+    if not len(order):
+        return Model(np.log((pos + 0.5) / (n - pos + 0.5)), none, np.zeros(0))
     vocab, odds = vocab[order], odds[order]
     slot = np.full(len(z), -1)
     slot[order] = np.arange(len(order))
