@@ -58,6 +58,24 @@ def check_contract(df: DataFrame, methods: Sequence[str] = METHODS,
         raise ValueError(f"importance table is missing required columns: {missing}")
 
 
+def unpivot_valid(tables: dict, methods: Sequence[str] = METHODS, **params) -> tuple[DataFrame | None, dict[str, str]]:
+    """Unpivot every dataset's importance table that keeps the contract.
+
+    Returns the stacked long table (None when none does) and a message for
+    each dataset left out; one bad table never fails the others.
+    """
+    out, skipped = None, {}
+    for name, wide in tables.items():
+        try:
+            check_contract(wide, methods)
+        except ValueError as e:
+            skipped[name] = str(e)
+            continue
+        part = unpivot_importance(wide, methods, dataset=name, **params)
+        out = part if out is None else out.unionByName(part)
+    return out, skipped
+
+
 def unpivot_importance(wide: DataFrame, methods: Sequence[str] = METHODS,
                        attribute_col: str = "Attribute", target_col: str = "Target",
                        dataset_col: str = "dataset", dataset: str | None = None) -> DataFrame:

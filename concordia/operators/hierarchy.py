@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .clean import or_label
 
 MIN_SPECIALIST_ROWS = 5
@@ -25,6 +26,19 @@ class Category:
     labels: list
 
 
+def fit_per_label(train: DataFrame, labels: Sequence[str], fit: Callable) -> dict:
+    """one model per label; ``fit`` is (train, label) -> scorer."""
+    return {lab: fit(train, lab) for lab in labels}
+
+
+def predict_per_label(models: dict, test: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``test`` with ``score_<label>`` and ``pred_<label>`` for every label's model."""
+    for lab, scorer in models.items():
+        test = scorer.predict(test, "x", out=f"score_{lab}") \
+            .withColumn(f"pred_{lab}", (F.col(f"score_{lab}") >= threshold).cast("int"))
+    return test
+
+
 def append_gate_scores(train: DataFrame, test: DataFrame, categories: Sequence[Category],
                        gates: dict) -> tuple[DataFrame, DataFrame]:
     """per category, score its gate on the current features and append
@@ -60,7 +74,8 @@ def specialist_predictions(train: DataFrame, test: DataFrame, categories: Sequen
     for cat in categories:
         gcol = f"Gatekeeper_{cat.name}_Score"
         pos_train = train.where(or_label(cat.labels) == 1)
-        gated = test.select("id", "x", F.coalesce((F.col(gcol) >= threshold).cast("int"), F.lit(0)).alias("gate_pred"))
+        # read once a label and side: written once
+        gated = materialize(test.select("id", "x", F.when(F.col(gcol) >= threshold, 1).otherwise(0).alias("gate_pred")))
         enough = pos_train.count() > MIN_SPECIALIST_ROWS  # guard: one scalar count
         for lab in cat.labels:
             tag = [F.lit(cat.name).alias("category"), F.lit(lab).alias("label")]

@@ -57,6 +57,26 @@ class SparkMLScorer:
         return scored.select(*[F.col(c) for c in keep], p.alias(out))
 
 
+class TreeScorer:
+    """One decision tree (a node table) as a column expression over the feature array."""
+
+    def __init__(self, nodes: dict, root: int = 0):
+        self.nodes, self.root = nodes, root
+
+    def cuts(self, p: int) -> list[list[float]]:
+        """Each feature's thresholds, ascending."""
+        return [sorted({n.threshold for n in self.nodes.values() if n.left >= 0 and n.feature == j}) for j in range(p)]
+
+    def predict(self, df: DataFrame, arr_col: str, out: str = "pred") -> DataFrame:
+        def at(i):
+            n = self.nodes[i]
+            if n.left < 0:
+                return F.lit(float(n.value))
+            return F.when(F.element_at(arr_col, n.feature + 1) <= F.lit(float(n.threshold)), at(n.left)).otherwise(at(n.right))
+
+        return df.withColumn(out, at(self.root))
+
+
 def features_array(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 

@@ -95,6 +95,14 @@ def averaged_row(rows: DataFrame, group: Sequence[str], label_col: str, label: s
     return rows.unionByName(avg, allowMissingColumns=True)
 
 
+def hierarchical_rows(gates: DataFrame, specialists: DataFrame, group: Sequence[str], label_col: str, label: str,
+                      average_only: bool = True, digits: int = 4) -> DataFrame:
+    """G5 for the two-level flow: gate rows as they are, specialists averaged (their own rows too
+    unless ``average_only``)."""
+    return gates.unionByName(averaged_row(specialists, group, label_col, label, digits=digits,
+                                          keep_detail=not average_only), allowMissingColumns=True)
+
+
 def subset_accuracy(df: DataFrame, key: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """share of rows where every label is predicted right."""
     allok = None

@@ -12,6 +12,7 @@ _MODULES = [
     "concordia.plans.catalog_io",
     "concordia.plans.catalog_models",
     "concordia.plans.catalog_lime",
+    "concordia.plans.catalog_more",
 ]
 
 
