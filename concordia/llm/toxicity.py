@@ -41,7 +41,7 @@ IDENTITY_GROUPS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind"),
 )
-MAX_TRAIN = 8000
+MAX_TRAIN = 6000
 THRESHOLD = 0.7
 PREFIXES = (5, 6, 7, 8)
 
@@ -110,6 +110,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _counted(sets: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, ascending, and in how many of the sets each is."""
+    flat = np.concatenate(sets)
+    flat.sort()
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    return flat[first], np.diff(np.append(first, len(flat)))
+
+
 def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: float = 1e-3, min_z: float = 2.5,
         max_features: int = 20000, steps: int = 300, seed: int = 7) -> Model:
     """Fit on labelled word sets (a bounded sample; rows are put in a fixed order first)."""
@@ -119,11 +127,11 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: floa
     n, pos = len(y), y.sum()
     if pos == 0 or pos == n:
         return Model(np.log((pos + 0.5) / (n - pos + 0.5)) if n else 0.0, none, np.zeros(0))
-    flat = np.concatenate([r[1] for r in rows])
-    of = np.repeat(np.arange(n), [len(r[1]) for r in rows])
-    vocab, at = np.unique(flat, return_inverse=True)
-    p = np.bincount(at, y[of], minlength=len(vocab))
-    q = np.bincount(at, 1 - y[of], minlength=len(vocab))
+    vocab, total = _counted([r[1] for r in rows])
+    of_pos, some = _counted([r[1] for r in rows if r[0] == 1])
+    p = np.zeros(len(vocab))
+    p[np.searchsorted(vocab, of_pos)] = some
+    q = total - p
     odds = np.log((p + .5) / (pos - p + .5)) - np.log((q + .5) / (n - pos - q + .5))
     z = odds / np.sqrt(1 / (p + .5) + 1 / (pos - p + .5) + 1 / (q + .5) + 1 / (n - pos - q + .5))
     named = [[term_features(t) for t in g] for g in groups]
@@ -135,10 +143,9 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: floa
     if not len(order):
         return Model(np.log((pos + 0.5) / (n - pos + 0.5)), none, np.zeros(0))
     vocab, odds = vocab[order], odds[order]
-    slot = np.full(len(z), -1)
-    slot[order] = np.arange(len(order))
-    at = slot[at]
-    of, at = of[at >= 0], at[at >= 0]
+    # of every row only the chosen features
+    held = [np.searchsorted(vocab, r[1][np.isin(r[1], vocab, assume_unique=True)]) for r in rows]
+    of, at = np.repeat(np.arange(n), [len(h) for h in held]), np.concatenate(held)
 
     # counterfactual pairs: a term's features go (sign -1), another's of its group come (+1);
     # linear scores need only the difference
