@@ -9,9 +9,10 @@ on the row only through the pattern o in {0,1}^d (o_k = lo_k < x_k <= hi_k):
     phi_k = v * (o_k - z_k) * sum_{S in F minus k} |S|!(d-|S|-1)!/d! * prod_S o * prod_rest z
 
 so each leaf carries a 2^d x d table of contributions, computed once from
-the model (bounded by model size, not by data). Per row, Spark evaluates
-the pattern of every leaf with JVM higher-order functions, looks the
-contributions up and sums them per (row, feature) with a partial aggregate.
+the model (bounded by model size, not by data). A row's values depend on that
+row and the tables only, so they are computed where the row is, for batches of
+rows at once (``mapInArrow``): no shuffle, and the tables travel as one
+broadcast value instead of plan literals.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,41 +168,58 @@ def compile_spark_model(spark: SparkSession, model, n_features: int) -> Compiled
 
 
 # ----------------------------------------------------------- Spark evaluation
-def _leaf_literal(ens: CompiledEnsemble):
-    structs = []
+def _tables(ens: CompiledEnsemble) -> list[tuple]:
+    """Leaves by path length: ``(features, lo, hi, contributions)``, each with one row a leaf."""
+    by_depth: dict[int, list] = {}
     for leaf, contrib, _ in ens.leaves:
-        structs.append(F.struct(
-            F.array(*[F.lit(int(f)) for f in leaf.features]).cast("array<int>").alias("f"),
-            F.array(*[F.lit(float(v)) for v in leaf.lo]).cast("array<double>").alias("lo"),
-            F.array(*[F.lit(float(v)) for v in leaf.hi]).cast("array<double>").alias("hi"),
-            F.array(*[F.lit(float(v)) for v in contrib.reshape(-1)]).cast("array<double>").alias("c")))
-    return F.array(*structs)
+        if leaf.features:
+            by_depth.setdefault(len(leaf.features), []).append((leaf, contrib))
+    return [(np.array([leaf.features for leaf, _ in group]), np.array([leaf.lo for leaf, _ in group], dtype=float),
+             np.array([leaf.hi for leaf, _ in group], dtype=float), np.stack([c for _, c in group]))
+            for _, group in sorted(by_depth.items())]
 
 
-def tree_shap(ens: CompiledEnsemble, test: DataFrame, feature_names: Sequence[str]) -> DataFrame:
-    """(id, feature, feature_value, base_value, shap_value) for every row and feature."""
-    leaves = _leaf_literal(ens)
+def tree_shap(ens: CompiledEnsemble, test: DataFrame, feature_names: Sequence[str],
+              cells: int = 1 << 21) -> DataFrame:
+    """(id, feature, feature_value, base_value, shap_value) for every row and feature.
+
+    ``cells`` bounds the (rows x leaves) block evaluated at once.
+    """
+    p = len(feature_names)
+    shared = test.sparkSession.sparkContext.broadcast(_tables(ens))
+
+    def run(batches):
+        tables = shared.value
+        widest = max([1] + [len(t[0]) for t in tables])
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :p]
+            phi = np.zeros((b.num_rows, p))
+            step = max(1, cells // widest)
+            for at in range(0, b.num_rows, step):
+                rows = x[at:at + step]
+                for features, lo, hi, contrib in tables:
+                    leaves, d = features.shape
+                    pattern = np.zeros((len(rows), leaves), dtype=np.int64)
+                    for k in range(d):
+                        v = rows[:, features[:, k]]
+                        pattern += ((lo[:, k] < v) & (v <= hi[:, k])).astype(np.int64) << k
+                    for k in range(d):
+                        onto = np.zeros((leaves, p))
+                        onto[np.arange(leaves), features[:, k]] = 1.0
+                        phi[at:at + step] += contrib[np.arange(leaves)[None, :], pattern, k] @ onto
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), p))),
+                 pa.array(np.tile(np.arange(p, dtype=np.int32), b.num_rows)),
+                 pa.array(x.ravel()), pa.array(phi.ravel())], names=["id", "j", "feature_value", "shap_value"])
+
+    kind = test.schema["id"].dataType.simpleString()
+    long = test.select("id", F.col("x").cast("array<double>").alias("x")) \
+        .mapInArrow(run, f"id {kind}, j int, feature_value double, shap_value double")
     names = F.array(*[F.lit(n) for n in feature_names])
-    from .explain import spread
-    per_leaf = spread(test).select("id", "x", F.explode(leaves).alias("L"))
-    d = F.size("L.f")
-    pattern = F.aggregate(
-        F.sequence(F.lit(0), d - 1), F.lit(0),
-        lambda acc, k: acc + F.when(
-            (F.element_at("L.lo", k + 1) < F.element_at("x", F.element_at("L.f", k + 1) + 1)) &
-            (F.element_at("x", F.element_at("L.f", k + 1) + 1) <= F.element_at("L.hi", k + 1)),
-            F.pow(F.lit(2.0), k).cast("int")).otherwise(0))
-    with_pat = per_leaf.where(d > 0).select("id", "L", pattern.alias("pat"))
-    contrib = with_pat.select("id", "pat", "L", F.explode(F.sequence(F.lit(0), F.size("L.f") - 1)).alias("k")) \
-        .select("id", F.element_at("L.f", F.col("k") + 1).alias("j"),
-                F.element_at("L.c", F.col("pat") * F.size("L.f") + F.col("k") + 1).alias("phi"))
-    zeros = test.select("id", F.posexplode("x").alias("j", "feature_value")).withColumn("phi", F.lit(0.0))
-    allrows = zeros.select("id", "j", "phi", "feature_value") \
-        .unionByName(contrib.withColumn("feature_value", F.lit(None).cast("double")))
-    agg = allrows.groupBy("id", "j").agg(F.sum("phi").alias("shap_value"),
-                                         F.max("feature_value").alias("feature_value"))
-    return agg.select("id", F.element_at(names, F.col("j") + 1).alias("feature"), "feature_value",
-                      F.lit(float(ens.base_value)).alias("base_value"), "shap_value")
+    return long.select("id", F.element_at(names, F.col("j") + 1).alias("feature"), "feature_value",
+                       F.lit(float(ens.base_value)).alias("base_value"), "shap_value")
 
 
 # ------------------------------------------------------- a data-derived tree

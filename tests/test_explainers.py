@@ -93,3 +93,33 @@ def test_cumulative_final_step_near_train_mean(spark, frames):
     c = ex.cumulative_ablation(model, train, test, ce.FEATURES, a, n_draws=10, background=bgn)
     last = c.where(F.col("step") == ce.P).agg(F.avg("current_prediction"), F.first("base_value")).first()
     assert abs(last[0] - last[1]) < 0.05
+
+
+def test_tree_shap_of_a_hundred_trees_needs_no_shuffle(spark):
+    rng = np.random.default_rng(0)
+    p, trees = 6, []
+    for _ in range(100):  # complete trees of depth 6
+        nodes = {}
+        for i in range(127):
+            inner = i < 63
+            nodes[i] = ts.Node(i, float(rng.normal()), float(2 ** (6 - int(np.log2(i + 1)))), 2 * i + 1 if inner else -1,
+                               2 * i + 2 if inner else -1, int(rng.integers(p)) if inner else -1, float(rng.normal()))
+        trees.append(nodes)
+    ens = ts.compile_ensemble(trees, [0.01] * 100, p)
+    rows = [(i, [float(v) for v in rng.normal(size=p)]) for i in range(40)]
+    df = ts.tree_shap(ens, spark.createDataFrame(rows, "id long, x array<double>"), [f"f{k}" for k in range(p)])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in df.collect():
+        got[r["id"]] = got.get(r["id"], ens.base_value) + r["shap_value"]
+
+    def output(x):
+        total = 0.0
+        for nodes in trees:
+            i = 0
+            while nodes[i].left >= 0:
+                i = nodes[i].left if x[nodes[i].feature] <= nodes[i].threshold else nodes[i].right
+            total += 0.01 * nodes[i].value
+        return total
+
+    assert all(abs(got[i] - output(x)) < 1e-9 for i, x in rows)
