@@ -144,26 +144,50 @@ def spearman(points: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------------------- I4
+#: Neighbouring y-ranks counted within one block (2^12 rows at most).
+BLOCK_BITS = 12
+
+
 def _dominance_total(points: DataFrame, key: Sequence[str]) -> DataFrame:
     """Per group: number of ordered point pairs (i, j) with x_j < x_i and y_j < y_i.
 
-    y values are replaced by their dense rank r (0-based). The prefix
-    [0, r) of y-ranks splits into one dyadic block per set bit of r; a point
-    joins its block as a *data* row on every level and asks as a *query* row
-    on the levels of its set bits. A running count of data rows inside each
-    (level, block), ordered by x with queries first on ties, answers every
-    query with "data rows having smaller x". Rows: O(n log n) per group.
+    Points are numbered by (y ascending, x descending), so of points equal in y
+    none precedes one of larger x. Blocks of 2^BLOCK_BITS neighbouring numbers
+    count their own pairs at once. Between blocks, the prefix of whole blocks
+    before a point's splits into one dyadic block per set bit of its number; a
+    point joins its block as a *data* row on every level above BLOCK_BITS and
+    asks as a *query* row on the levels of its set bits. A running count of data
+    rows inside each (level, block), ordered by x with queries first on ties,
+    answers every query with "data rows having smaller x". Rows exploded:
+    n log(n / 2^BLOCK_BITS) per group, none for groups of one block.
     """
     key = list(key)
-    ydist = points.select(*key, "y").distinct()
-    yr = prefix_sums(ydist, [F.col("y").asc()], {"yrank": F.lit(1).cast("bigint")},
-                     partition_cols=key, inclusive=False)
-    pts = materialize(points.join(yr, key + ["y"]))
-    levels = pts.groupBy(*key).agg(F.max("yrank").alias("__maxr"))
-    pts = pts.join(levels, key).withColumn(
-        "__nlev", F.greatest(F.lit(1), F.ceil(F.log2(F.col("__maxr") + 1)).cast("int")))
-    lvl = F.explode(F.sequence(F.lit(0), F.col("__nlev") - 1)).alias("level")
-    with_lvl = pts.select(*key, "x", "yrank", "pid", lvl)
+    numbered = row_number(points, [F.col("y").asc(), F.col("x").desc(), F.col("pid").asc()], partition_cols=key, out="__n")
+    pts = materialize(numbered.select(*key, "x", "pid", (F.col("__n") - 1).alias("yrank")))
+
+    def count_block(t):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y = t["x"].to_numpy(), t["yrank"].to_numpy()
+        v = y[np.lexsort((-y, x))]  # of equal x the larger number first: no pair among them
+        total = 0
+        for at in range(0, len(v), 256):
+            part = v[at:at + 256]
+            total += int((v[None, at + len(part):] > part[:, None]).sum())
+            total += int(np.triu(part[None, :] > part[:, None], 1).sum())
+        return pa.table({**{k: t[k].slice(0, 1) for k in key}, "dom": pa.array([total], pa.int64())})
+
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join([f"`{k}` {types[k]}" for k in key] + ["dom long"])
+    within = pts.groupBy(*key, F.shiftright("yrank", BLOCK_BITS).alias("__block")) \
+        .applyInArrow(lambda _, t: count_block(t), schema)
+    last = pts.groupBy(*key).agg(F.max("yrank").alias("__maxr")).where(F.col("__maxr") >= 1 << BLOCK_BITS)
+    if last.isEmpty():  # every group is one block
+        return within.groupBy(*key).agg(F.sum("dom").alias("dom"))
+    top = F.ceil(F.log2(F.col("__maxr") + 1)).cast("int")
+    with_lvl = pts.join(last, key).select(
+        *key, "x", "yrank", "pid", F.explode(F.sequence(F.lit(BLOCK_BITS), top - 1)).alias("level"))
     shifted = F.expr("shiftright(yrank, level)")
     data = with_lvl.select(*key, "level", shifted.alias("block"),
                            "x", F.lit(1).alias("kind"), "pid")
@@ -173,7 +197,8 @@ def _dominance_total(points: DataFrame, key: Sequence[str]) -> DataFrame:
     counted = prefix_sums(rows, [F.col("x").asc(), F.col("kind").asc(), F.col("pid").asc()],
                           {"below": (F.col("kind") == 1).cast("bigint")},
                           partition_cols=key + ["level", "block"], inclusive=True)
-    return counted.where(F.col("kind") == 0).groupBy(*key).agg(F.sum("below").alias("dom"))
+    between = counted.where(F.col("kind") == 0).select(*key, F.col("below").alias("dom"))
+    return within.unionByName(between).groupBy(*key).agg(F.sum("dom").alias("dom"))
 
 
 def kendall_tau_b(points: DataFrame, x: str = "xv", y: str = "yv",

@@ -80,3 +80,18 @@ def test_downsample_and_split_without_funnel(spark):
     assert sample.exact_downsample(df, "id", 5000).count() == 1000
     s = sample.stratified_split(df, "id", "y")
     assert {(r["y"], r["count"]) for r in s.where("split = 'test'").groupBy("y").count().collect()} == {(0, 150), (1, 150)}
+
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_kendall_over_many_blocks_equals_pairs(spark, monkeypatch, bits):
+    monkeypatch.setattr(agreement, "BLOCK_BITS", bits)
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 40, 260).astype(float), rng.integers(0, 25, 260).astype(float)
+    y[:90] = 7.0  # a heavily tied value
+    rows = [("d", "t", "p", f"a{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    points = spark.createDataFrame(rows, "dataset string, target string, pair string, attribute string, xv double, yv double")
+    s = (np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum() / 2
+    n0 = 260 * 259 / 2
+    n1, n2 = ((np.bincount(v.astype(int)) * (np.bincount(v.astype(int)) - 1)).sum() / 2 for v in (x, y))
+    got = agreement.kendall_tau_b(points).first()["value"]
+    assert got == pytest.approx(s / np.sqrt((n0 - n1) * (n0 - n2)), abs=1e-12)
