@@ -108,6 +108,32 @@ def marginal_ablation(scorer, train: DataFrame, test: DataFrame, feature_names:
         F.abs(F.col("orig") - F.col("avg_pred")).alias("ablation_value"))
 
 
+def marginal_ablation_targets(scorers: dict, train: DataFrame, test: DataFrame, feature_names: Sequence[str],
+                              n_draws: int = 50, seed="ablation", broadcast_bytes: int = BROADCAST_BYTES,
+                              background=None) -> DataFrame:
+    """A5 for several targets' models in one pass: drawn, joined and grouped once, scored by every model.
+
+    Output: target_context and the columns of :func:`marginal_ablation`.
+    """
+    p, targets = len(feature_names), list(scorers)
+    bg, n_bg = background or number_background(train)
+    bg_long = _maybe_broadcast(bg.select("bidx", F.posexplode("x").alias("j", "v")), n_bg * p, 4, broadcast_bytes)
+    pert = marginal_draws(spread(test), p, n_draws, n_bg, seed).join(bg_long, ["j", "bidx"]) \
+        .select("id", "j", F.transform("x", lambda e, k: F.when(k == F.col("j"), F.col("v")).otherwise(e)).alias("xp"))
+    orig, base = test.select("id", "x"), train.select("x")
+    for i, t in enumerate(targets):
+        pert = scorers[t].predict(pert, "xp", out=f"__p{i}")
+        orig = scorers[t].predict(orig, "x", out=f"__o{i}")
+        base = scorers[t].predict(base, "x", out=f"__b{i}")
+    means = base.agg(*[F.avg(f"__b{i}") for i in range(len(targets))]).first()
+    avg = pert.groupBy("id", "j").agg(*[F.avg(f"__p{i}").alias(f"__a{i}") for i in range(len(targets))])
+    rows = avg.join(orig, "id").select("id", "j", "x", F.explode(F.array(*[F.struct(
+        F.lit(t).alias("target_context"), F.lit(means[i]).alias("base_value"),
+        F.abs(F.col(f"__o{i}") - F.col(f"__a{i}")).alias("ablation_value")) for i, t in enumerate(targets)])).alias("r"))
+    return rows.select("r.target_context", "id", F.element_at(_names(feature_names), F.col("j") + 1).alias("feature"),
+                       F.element_at("x", F.col("j") + 1).alias("feature_value"), "r.base_value", "r.ablation_value")
+
+
 def interval_weights(train: DataFrame, cuts: Sequence[Sequence[float]]) -> list[list[tuple[float, float]]]:
     """Per feature ``(a value, share of train rows)`` of every interval between its cuts (upper ends included).
 

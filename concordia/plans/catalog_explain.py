@@ -81,11 +81,9 @@ def q_a6_cumulative_ablation(spark, sf):
 
 def q_a8_multi_target_attributions(spark, sf):
     train, test = split_frames(spark, sf)
-    bgn = ex.number_background(train)
-    per = {t: ex.marginal_ablation(model_for(t), train, test, FEATURES, N_DRAWS, SEED_A5, background=bgn)
-           for t in ("has_R", "has_A", "has_N")}
-    return ex.per_target(per).select("target_context", "id", "feature",
-                                     F.round("ablation_value", R6).alias("ablation_value"))
+    all_targets = ex.marginal_ablation_targets({t: model_for(t) for t in ("has_R", "has_A", "has_N")}, train, test,
+                                               FEATURES, N_DRAWS, SEED_A5)
+    return all_targets.select("target_context", "id", "feature", F.round("ablation_value", R6).alias("ablation_value"))
 
 
 def q_a1_linear_shapley(spark, sf):
