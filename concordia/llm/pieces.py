@@ -36,9 +36,9 @@ from .shipping import ship
 
 MODEL_FILE = "piece_bpe_32k.model"
 TOKENIZER_DIR = "/opt/tokenizers"
-STORE_UNITS = 250_000
+STORE_UNITS = 120_000
 MARK = "▁"  # fixed value: the space mark of the vocabulary
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _FAR = np.int64(1) << 60
 
 
@@ -204,7 +204,9 @@ class Vocabulary:
             lo = new_lo
         count = np.maximum(hi - lo, 0)
         which = np.repeat(np.arange(len(self.reach)), count)
-        start = suffixes[np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
+        at = np.arange(len(which))
+        at += np.repeat(lo - (np.cumsum(count) - count), count)
+        start = suffixes[at]
         size, piece = self.piece_len[which], self.reach[which]
         for k in range(2, self.levels):
             rest = np.flatnonzero(size > k * self.per)
@@ -216,6 +218,7 @@ class Vocabulary:
         end = start + size
         depth = end - begin[unit[start]]
         order = np.argsort(depth.astype(np.int32), kind="stable")
+        del which, at, size
         start, end, piece, depth = start[order], end[order], piece[order], depth[order]
         last = np.full(n + 1, -1, np.int64)  # last piece of the encoding that ends before this position
         first = np.zeros(n + 1, dtype=bool)
@@ -262,10 +265,17 @@ class Vocabulary:
             hi = np.where(open_ & ~right, mid, hi)
 
 
+def _spread(first: np.ndarray, counts: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Positions of ``counts[i]`` items from ``first[i]`` on, for every i in turn."""
+    out = np.arange(total[-1])
+    out -= np.repeat(total[:-1] - first, counts)
+    return out
+
+
 class Encoder:
     """Encodes batches; frequent units stay in two bounded generations."""
 
-    def __init__(self, vocab: Vocabulary, store: int = STORE_UNITS, group: int = 60_000):
+    def __init__(self, vocab: Vocabulary, store: int = STORE_UNITS, group: int = 25_000):
         self.v, self.store, self.group = vocab, store, group
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -353,7 +363,7 @@ class Encoder:
         idx = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         per_word = size[idx]
         total = np.concatenate([[0], np.cumsum(per_word)])
-        ids = store[np.arange(total[-1]) - np.repeat(total[:-1] - at[idx], per_word)] if len(idx) else store[:0]
+        ids = store[_spread(at[idx], per_word, total)] if len(idx) else store[:0]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         return ids, total[bounds]
 
@@ -362,7 +372,7 @@ class Encoder:
         v = self.v
         per = v.raw_len[ids]
         total = np.concatenate([[0], np.cumsum(per)])
-        raw = v.raw_bytes[np.arange(total[-1]) - np.repeat(total[:-1] - v.raw_at[ids], per)]
+        raw = v.raw_bytes[_spread(v.raw_at[ids], per, total)]
         bounds = total[offsets]
         # the mark put before every text goes again
         filled = bounds[:-1] < bounds[1:]

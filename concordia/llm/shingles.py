@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _U = np.uint64
 # Odd multiplier of the byte polynomial and its seed.
 _BASE = 0x9E3779B97F4A7C15
