@@ -21,11 +21,6 @@ def uhash32(seed, *keys) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
 
 
-def uniform01(seed, *keys) -> Column:
-    """Deterministic U[0,1) from the keys."""
-    return uhash32(seed, *keys) / F.lit(float(TWO_32))
-
-
 def sql_uhash32(seed, *key_sql: str) -> str:
     """DuckDB spelling of :func:`uhash32` for oracle queries."""
     inner = ", ".join([f"'{seed}'"] + [f"cast({k} as varchar)" for k in key_sql])

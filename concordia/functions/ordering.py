@@ -29,14 +29,6 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def prefix_sums(df: DataFrame, order_cols: Sequence[Column], values: dict[str, Column],
                 partition_cols: Sequence[str] = (), inclusive: bool = True,
                 num_partitions: int | None = None) -> DataFrame:

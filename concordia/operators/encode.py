@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from ..functions.names import quoted
 from ..functions.ordering import row_number
 from ..functions.quantiles import exact_quantiles, modes
-from ..functions.stats import safe_corr
 from .clean import try_double
 
 # Discretisation labels, in order.
@@ -167,19 +166,54 @@ def apply_label_codes(df: DataFrame, col: str, codes: DataFrame, out: str = "cod
 
 # ---------------------------------------------------------------------- C1
 def correlation_table(train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All column pairs i<j with the null-safe Pearson r, from ONE aggregate.
+    """All column pairs i<j with the null-safe Pearson r ``(i, j, r)``, over rows where both are present.
 
-    The aggregate returns a single row (p*(p-1)/2 values); it is turned into
-    a long (i, j, r) table with ``stack`` without leaving Spark.
+    One pass for means and magnitudes; then every partition forms one set of
+    centred p x p moment matrices and passes on p(p-1)/2 rows, whatever its
+    size, which are summed per pair. The plan doesn't grow with p. r is NULL
+    where a side is constant.
     """
-    pairs = [(i, j) for j in range(len(cols)) for i in range(j)]
-    if not pairs:
-        return train.sparkSession.createDataFrame([], "i int, j int, r double")
-    row = train.agg(*[safe_corr(quoted(cols[i]).cast("double"), quoted(cols[j]).cast("double"))
-                      .alias(f"r_{i}_{j}") for i, j in pairs])
-    stack = "stack({n}, {items}) as (i, j, r)".format(
-        n=len(pairs), items=", ".join(f"{i}, {j}, `r_{i}_{j}`" for i, j in pairs))
-    return row.selectExpr(stack)
+    p = len(cols)
+    spark = train.sparkSession
+    if p < 2:
+        return spark.createDataFrame([], "i int, j int, r double")
+    x = [quoted(c).cast("double") for c in cols]
+    first = train.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)],
+                      *[F.max(F.abs(v)).alias(f"a{i}") for i, v in enumerate(x)]).first()
+    mean = [first[f"m{i}"] or 0.0 for i in range(p)]
+    # deviations below this are rounding of the mean, not spread
+    least = [(1e-12 * (first[f"a{i}"] or 0.0)) ** 2 for i in range(p)]
+
+    def moments(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centre, total = np.array(mean), None
+        for b in batches:
+            v = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns], axis=1)
+            here = ~np.isnan(v)
+            d, m = np.where(here, v - centre, 0.0), here.astype(np.float64)
+            part = np.stack([m.T @ m, d.T @ m, (d * d).T @ m, d.T @ d])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(p, 1)
+            n, s, ss, sp = total
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k) for k in (i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], sp[i, j])],
+                names=["i", "j", "n", "si", "sj", "qi", "qj", "c"])
+
+    parts = train.select(*[v.alias(f"c{i}") for i, v in enumerate(x)]).mapInArrow(
+        moments, "i int, j int, n double, si double, sj double, qi double, qj double, c double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "si", "sj", "qi", "qj", "c")])
+    floor = F.array(*[F.lit(v) for v in least])
+
+    def spread(q, s):
+        return F.col(q) / F.col("n") - (F.col(s) / F.col("n")) * (F.col(s) / F.col("n"))
+
+    t = t.where("n > 0").withColumns({"vi": spread("qi", "si"), "vj": spread("qj", "sj")})
+    ok = (F.col("vi") > F.element_at(floor, F.col("i") + 1)) & (F.col("vj") > F.element_at(floor, F.col("j") + 1))
+    cov = F.col("c") / F.col("n") - (F.col("si") / F.col("n")) * (F.col("sj") / F.col("n"))
+    return t.select("i", "j", F.when(ok, cov / F.sqrt(F.col("vi") * F.col("vj"))).alias("r"))
 
 
 def correlated_drop_table(train: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:

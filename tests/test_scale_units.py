@@ -95,3 +95,25 @@ def test_kendall_over_many_blocks_equals_pairs(spark, monkeypatch, bits):
     n1, n2 = ((np.bincount(v.astype(int)) * (np.bincount(v.astype(int)) - 1)).sum() / 2 for v in (x, y))
     got = agreement.kendall_tau_b(points).first()["value"]
     assert got == pytest.approx(s / np.sqrt((n0 - n1) * (n0 - n2)), abs=1e-12)
+
+
+def test_correlations_of_wide_frames(spark):
+    from conftest import SF01
+
+    emb = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    dim = len(emb.first()["embedding"])
+    cols = [f"e.{i}" for i in range(dim)] + ["const", "copy"]
+    wide = emb.select(*[F.col("embedding")[i].alias(f"e.{i}") for i in range(dim)], F.lit(0.1).alias("const"),
+                      (F.col("embedding")[3] * -2 + 5).alias("copy"))
+    got = {(r["i"], r["j"]): r["r"] for r in encode.correlation_table(wide, cols).collect()}
+    x = np.array([r["embedding"] for r in emb.collect()], dtype=float)
+    want = np.corrcoef(x.T)
+    assert len(got) == (dim + 2) * (dim + 1) // 2
+    assert all(abs(got[i, j] - want[i, j]) < 1e-9 for i in range(dim) for j in range(i + 1, dim))
+    assert got[3, dim + 1] == pytest.approx(-1.0, abs=1e-6) and all(got[i, dim] is None for i in range(dim))
+    assert encode.fit_correlated_drop(wide, cols, 0.9) == cols[:-1]
+    bins = encode.fit_quantile_bins(wide, cols)
+    assert len(bins.edges) == dim + 1 and "const" not in bins.edges
+    assert np.allclose(bins.edges["e.5"], np.quantile(x[:, 5], (0, .25, .5, .75, 1)))
+    gaps = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 6.5), (None, 1.0), (4.0, 7.0)], "a double, b double")
+    assert encode.correlation_table(gaps, ["a", "b"]).first()["r"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 6.5, 7])[0, 1])
