@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import shingles as S
 from .shipping import ship
 
@@ -44,6 +45,8 @@ IDENTITY_GROUPS = (
 MAX_TRAIN = 6000
 THRESHOLD = 0.7
 PREFIXES = (5, 6, 7, 8)
+MIN_Z = 2.5
+MAX_FEATURES = 20_000
 
 
 def held_out() -> F.Column:
@@ -71,8 +74,8 @@ def _row_words(offs, data):
     return np.concatenate(hs)[order], row[order]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, learn_from) -> list:
-    """At most ``max_train`` rows ``(y, distinct word hashes)``, repeated texts once."""
+def training_sets(docs: DataFrame, labels: DataFrame, max_train: int, learn_from) -> DataFrame:
+    """At most ``max_train`` rows ``(y, words)``: distinct feature hashes, repeated sets once."""
     ship(docs.sparkSession)
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(learn_from) \
         .groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -83,12 +86,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, learn_from
             for lo, offs, data in S.text_slices(b.column(1)):
                 h, row = _row_words(offs, data)
                 cut = np.searchsorted(row, np.arange(len(offs)))
-                sets = [np.unique(h[cut[i]:cut[i + 1]]).tobytes() for i in range(len(offs) - 1)]
+                sets = [np.unique(h[cut[i]:cut[i + 1]]).view(np.int64) for i in range(len(offs) - 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(sets)).cast(pa.int32()),
-                                                  pa.array(sets, pa.binary())], names=["y", "words"])
+                                                  pa.array(sets, pa.list_(pa.int64()))], names=["y", "words"])
+
+    return docs.join(F.broadcast(picked), "doc_id").select(F.col("y").cast("int"), F.col("text").cast("string")) \
+        .mapInArrow(run, "y int, words array<long>").groupBy("words").agg(F.max("y").alias("y"))
+
+
+def training_rows(sets: DataFrame, groups, min_z: float, max_features: int) -> list:
+    """``(y, features)`` of every row, with the features that tell the classes apart and the identity terms only.
+
+    Features are counted and chosen in Spark; what reaches the driver is at most
+    ``max_features`` hashes and the rows' few chosen ones.
+    """
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
+    n, pos = float(size["n"]), float(size["pos"] or 0)
+    terms = np.unique(np.concatenate([term_features(t) for g in groups for t in g])).view(np.int64).tolist()
+    p, q = F.col("p") + 0.5, F.col("t") - F.col("p") + 0.5
+    rest_p, rest_q = F.lit(pos + 1.0) - p, F.lit(n - pos + 1.0) - q
+    odds = F.log(p) - F.log(rest_p) - F.log(q) + F.log(rest_q)
+    z = F.abs(odds / F.sqrt(1 / p + 1 / rest_p + 1 / q + 1 / rest_q))
+    chosen = sets.select("y", F.explode("words").alias("w")).groupBy("w") \
+        .agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("t")).select("w", z.alias("z"), F.col("w").isin(terms).alias("term")) \
+        .where((F.col("z") >= min_z) | F.col("term")).orderBy(F.desc("term"), F.desc("z"), "w").limit(max_features).collect()
+    vocab = np.array(sorted(r["w"] for r in chosen), dtype=np.int64)
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select(F.col("y").cast("int"), F.col("text").cast("string")) \
-        .mapInArrow(run, "y int, words binary").groupBy("words").agg(F.max("y").alias("y")).collect()
+    def run(batches):
+        for b in batches:
+            sets = [np.array(w, dtype=np.int64) for w in b.column(1).to_pylist()]
+            kept = [np.sort(w[np.isin(w, vocab, assume_unique=True)].view(np.uint64)).tobytes() for w in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], names=["y", "words"])
+
+    rows = sets.select("y", "words").mapInArrow(run, "y int, words binary").collect()
     return [(r["y"], np.frombuffer(r["words"], np.uint64)) for r in rows]
 
 
@@ -118,8 +148,8 @@ def _counted(sets: list) -> tuple[np.ndarray, np.ndarray]:
     return flat[first], np.diff(np.append(first, len(flat)))
 
 
-def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: float = 1e-3, min_z: float = 2.5,
-        max_features: int = 20000, steps: int = 300, seed: int = 7) -> Model:
+def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: float = 1e-3, min_z: float = MIN_Z,
+        max_features: int = MAX_FEATURES, steps: int = 300, seed: int = 7) -> Model:
     """Fit on labelled word sets (a bounded sample; rows are put in a fixed order first)."""
     rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
     y = np.array([r[0] for r in rows], dtype=np.float64)
@@ -188,9 +218,11 @@ def fit(rows: list, groups=IDENTITY_GROUPS, strength: float = 100.0, ridge: floa
     return Model(b, vocab, w * odds)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, learn_from=None, **params) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, learn_from=None, groups=IDENTITY_GROUPS,
+          min_z: float = MIN_Z, max_features: int = MAX_FEATURES, **params) -> Model:
     learn = F.lit(True) if learn_from is None else learn_from
-    return fit(training_rows(docs, labels, max_train, learn), **params)
+    sets = materialize(training_sets(docs, labels, max_train, learn))
+    return fit(training_rows(sets, groups, min_z, max_features), groups, min_z=min_z, max_features=max_features, **params)
 
 
 def with_score(docs: DataFrame, model: Model, out: str) -> DataFrame:
