@@ -1,15 +1,17 @@
 """Operator 2 [native]: secret scan with a random forest against false positives.
 
-Candidates are runs of 16 or more key characters with a digit, found in whole
-texts. A forest judges each from its length, character classes and transitions,
-dictionary coverage, the path (of the document, and around the candidate) and the
-neighbouring words. It is trained from labelled findings by Spark ML and
+Candidates are runs of 16 or more key characters anywhere in a text, and values of
+any length and punctuation (up to white space) that follow an assignment or a quote
+next to a name holding one of FOR_WORDS. A forest judges each from its length,
+character classes and transitions, dictionary coverage, the path (of the document,
+and around the candidate) and the neighbouring words. It is trained from labelled findings by Spark ML and
 evaluated as a column expression within the row: no text is shuffled, exploded or
 joined, and only texts that hold a candidate are taken apart.
 
 Defined results: null and empty texts have no candidates and stay as they are; a
 candidate that occurs several times is judged at each place and, where any place
-is a secret, replaced everywhere in that text; repeated rows are scanned alike;
+is a secret, replaced everywhere in that text (one of under 16 characters only
+where no letter or digit adjoins it); repeated rows are scanned alike;
 an empty table gives no rows; a missing path column counts as an empty path.
 """
 
@@ -20,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUN = r"(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 #: Parameters: words that speak for a secret near by, against one, and a small dictionary of ordinary parts.
@@ -34,24 +36,58 @@ DICTIONARY = ("access", "account", "article", "build", "change", "client", "code
               "order", "page", "path", "placeholder", "product", "public", "release", "report", "sample", "secret",
               "server", "service", "site", "some", "string", "system", "test", "text", "that", "the", "this", "title",
               "token", "update", "user", "value", "version", "with", "word", "your", "ation", "ing", "tion", "ment", "ber")
+#: Names of passwords, and values that stand for one.
+PASSWORD_WORDS = ("passwd", "password", "pwd")
+STAND_INS = (r"(?i)^([<\[{%*].*|[$][({].*|(.)\2*|null|none|nil|true|false|undefined|empty|required|optional|string|text|"
+             r"password|passwd|secret|token|hidden|redacted|changeme|process\.env.*|os\.environ.*|self\..*|this\..*|.*[({].*)$")
 PATH_WORDS = r"(?i)(^|[/_.\-])(test|tests|doc|docs|example|examples|fixture|fixtures|sample|samples|mock)s?([/_.\-]|$)"
+#: A name with one of FOR_WORDS (also within camel case), and the value assigned to it or quoted after it.
+_NAME = "(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?:" + "|".join(
+    f"[{w[0].upper()}{w[0]}]{w[1:]}|{w.upper()}" for w in FOR_WORDS) + r")(?![a-z])[A-Za-z0-9_\-]{0,40}+[\\\"'`\])]{0,3}+"
+_VALUE = (r"((?<=\")[^\s\"]*[^\s\"\\](?=\\?\")|(?<=')[^\s']*[^\s'\\](?=\\?')|(?<=`)[^\s`]+(?=`)"
+          r"|[^\s\"'`][^\s\"`]*[^\s\"'`,;.)\]}>]|[^\s\"'`,;.)\]}>])")
+ASSIGNED = _NAME + r"(?:\s*+(?>:=|=>|={1,3}|:)\s*+(?:\\?[\"'`])?+|\s++\\?[\"'`])" + _VALUE
 FINDING = "struct<token:string,before:string,left:string,after:string,path:string>"
 
 
 def candidates(text: Column, path: Column) -> Column:
-    """Array of findings: the run, what its word holds before it, the two words to its left, what follows it."""
+    """Array of findings: the run or value, what its word holds before it, the two words to its left, what follows it."""
     words = F.split(text, r"[\x20\x09-\x0D]+")
-    at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].rlike(RUN))
+    nothing = F.array(F.lit(None).cast("string"))
+    # each word beside its neighbours: the text is split a fixed number of times, not once a word
+    rows = F.arrays_zip(words.alias("w"), F.concat(nothing, words).alias("l1"), F.concat(nothing, nothing, words).alias("l2"),
+                        F.slice(words, F.lit(2), F.size(words)).alias("r1"))
+    here = ASSIGNED + r"(?=\S*$)"  # only values within the word itself, not those of the words to its left
 
-    def of_word(s):
-        word, i = s["w"], s["i"]
-        left = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))
-        return F.transform(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), lambda t: F.struct(
-            t.alias("token"), F.split_part(word, t, F.lit(1)).alias("before"), left.alias("left"),
-            F.concat_ws(" ", F.split_part(word, t, F.lit(-1)), F.get(words, i + 1)).alias("after"), path.alias("path")))
+    def whole(s):
+        return F.concat_ws(" ", s["l2"], s["l1"], s["w"])
+
+    def runs(s):
+        return F.regexp_extract_all(s["w"], F.lit(RUN), F.lit(0))
+
+    def of_runs(s):
+        return F.transform(runs(s), lambda t: F.struct(
+            t.alias("token"), F.split_part(s["w"], t, F.lit(1)).alias("before"), F.concat_ws(" ", s["l2"], s["l1"]).alias("left"),
+            F.concat_ws(" ", F.split_part(s["w"], t, F.lit(-1)), s["r1"]).alias("after"), path.alias("path")))
+
+    def of_values(s):
+        found = F.arrays_zip(F.regexp_extract_all(whole(s), F.lit(here), F.lit(0)).alias("m"),
+                             F.regexp_extract_all(whole(s), F.lit(here), F.lit(1)).alias("t"))
+
+        def of_value(p):
+            upto = F.length(F.split_part(whole(s), p["m"], F.lit(1))) + F.length(p["m"])
+            ahead = F.substr(whole(s), F.lit(1), upto - F.length(p["t"]))
+            return F.struct(
+                p["t"].alias("token"), F.substring_index(ahead, " ", -1).alias("before"), F.concat_ws(" ", s["l2"], s["l1"]).alias("left"),
+                F.concat_ws(" ", F.substr(whole(s), upto + 1), s["r1"]).alias("after"), path.alias("path"))
+
+        return F.transform(F.filter(found, lambda p: ~F.array_contains(runs(s), p["t"])), of_value)
 
     none = F.array().cast(f"array<{FINDING}>")
-    return F.when(text.rlike(RUN), F.flatten(F.transform(at, of_word))).otherwise(none)
+    both = F.transform(F.filter(rows, lambda s: s["w"].rlike(RUN) | whole(s).rlike(here) & s["w"].isNotNull()),
+                       lambda s: F.concat(of_runs(s), of_values(s)))
+    only_runs = F.transform(F.filter(rows, lambda s: s["w"].rlike(RUN)), of_runs)
+    return F.when(text.rlike(ASSIGNED), F.flatten(both)).when(text.rlike(RUN), F.flatten(only_runs)).otherwise(none)
 
 
 def _any(words) -> str:
@@ -87,7 +123,13 @@ def features(f: Column) -> Column:
         flag(left.rlike(r"[=:]\s*[\"'`]?$")),
         flag(f["before"].rlike(r"://|/$|\.$|@") | f["after"].rlike(r"^[.@][A-Za-z0-9]")),
         flag(f["path"].rlike(PATH_WORDS)),
-        flag(token.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|sk_live|xox[abp]-|eyJ)")))
+        flag(token.rlike("^(AKIA|ASIA|ghp_|gho_|sk-|sk_live|xox[abp]-|eyJ)")),
+        count("[^A-Za-z0-9_/+=-]") / n,
+        flag(token.rlike("[a-z]")) + flag(token.rlike("[A-Z]")) + flag(token.rlike("[0-9]")) + flag(token.rlike("[^A-Za-z0-9]")),
+        count("[0-9A-Z]"),
+        flag(near.rlike(_any(PASSWORD_WORDS))),
+        flag(left.rlike(r"=\s*[\"'`]?$|[\"'`]$")),
+        flag(token.rlike(STAND_INS)))
 
 
 def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
@@ -99,7 +141,46 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     quoted = "element_at(array('\"', '', ''''), 1 + cast(id % 3 AS int))"
     name = "element_at(array('token', 'secret', 'api_key', 'password', 'auth', 'access_token'), 1 + cast(id % 6 AS int))"
     plain = "element_at(array('and the', 'der die', 'la que', 'in of', 'on'), 1 + cast(id % 5 AS int))"
+    assigned = "element_at(array('=', ':', '= ', ': '), 1 + cast(id % 4 AS int))"
+    passname = "element_at(array('password', 'db_password', 'passwd', 'PWD', 'PASSWORD'), 1 + cast(id % 5 AS int))"
+    loose = "element_at(array('key', 'token', 'secret', 'private', 'auth', 'api', 'password'), 1 + cast(id % 7 AS int))"
+    common = "element_at(array('sunshine', 'letmein', 'dragon', 'football', 'welcome', 'shadow', 'Summer', 'hunter', 'Monkey', 'qwerty', 'iloveyou'), 1 + cast(id % 11 AS int))"
+    prose = ("element_at(array('practice', 'element', 'the', 'question', 'Must', 'people', 'is', 'findings', 'a', 'Enter', 'communication', 'signature', "
+             "'Choose', 'success', 'and', 'value', 'management', 'economy', 'how'), 1 + cast(id % 19 AS int))")
+    stand_in = ("element_at(array('null', 'None', 'true', 'string', 'required', '<password>', '${SECRET}', '********', 'xxxxxxxx', 'changeme', "
+                "'os.environ[0]', 'self.password', 'getenv(KEY)', '{{token}}', 'undefined', '...'), 1 + cast(id % 16 AS int))")
+    mark = "element_at(array('!', '@', '$', '%', '~', '.', '#', '&'), 1 + cast(id % 8 AS int))"
+    nodigit = "translate({}, '0123456789abcdef', 'aGbhJckMdnPqReTz')".format(hexed)
+    longword = ("element_at(array('internationalization', 'Bundesverfassungsgericht', 'telecommunications', 'responsibilities', 'Geschwindigkeitsbegrenzung', "
+                "'anticonstitutionnellement', 'counterproductive', 'characterization', 'Donaudampfschifffahrt', 'multidimensional', 'environmentally-friendly', "
+                "'state-of-the-art', 'and/or/otherwise/maybe', 'user_account_settings', 'AbstractProxyFactoryBean', 'getElementsByTagName', "
+                "'articles/international/culture', 'LinkedHashMapEntry', 'wp-content/uploads/images'), 1 + cast(id % 19 AS int))")
     kinds = [
+        (1, f"concat(substr({letters}, 1, cast(3 + id % 6 AS int)), {mark}, substr({hexed}, 1, cast(2 + id % 5 AS int)))", quoted, f"concat({name}, ' =')", quoted),
+        (1, f"concat(substr({letters}, 1, cast(3 + id % 6 AS int)), {mark}, substr({hexed}, 1, cast(2 + id % 5 AS int)))",
+         f"concat({passname}, {assigned}, {quoted})", plain, quoted),
+        (1, f"concat(substr({letters}, 1, cast(8 + id % 20 AS int)), {mark}, substr({letters}, 9, cast(2 + id % 20 AS int)), {mark})",
+         f"concat({name}, {assigned}, {quoted})", plain, quoted),
+        (1, f"substr({letters}, 1, cast(6 + id % 10 AS int))", f"concat({name}, {assigned}, {quoted})", plain, quoted),
+        (1, f"concat({common}, id % 10000, if(id % 2 = 0, {mark}, ''))", f"concat({passname}, {assigned}, {quoted})", plain, quoted),
+        (1, f"concat({common}, id % 10000, if(id % 2 = 0, {mark}, ''))", quoted, f"concat({passname}, ' ', trim({assigned}))", quoted),
+        (1, f"concat({common}, {mark}, id % 10000)", "'\"'", passname, "'\"'"),
+        (1, common, quoted, f"concat({passname}, ' =')", quoted),
+        (1, common, f"concat({passname}, '=', {quoted})", plain, quoted),
+        (1, f"lpad(id * 7919 % 100000000, cast(4 + id % 5 AS int), '3')", f"concat({passname}, '=', {quoted})", plain, quoted),
+        (1, f"substr({nodigit}, 1, cast(16 + id % 25 AS int))", f"concat({name}, {assigned}, {quoted})", plain, quoted),
+        (1, f"substr({nodigit}, 1, cast(16 + id % 25 AS int))", quoted, f"concat({name}, ' ', trim({assigned}))", quoted),
+        (0, prose, "''", f"concat({loose}, ':')", "''"),
+        (0, prose, f"concat({loose}, ':')", plain, "','"),
+        (0, f"concat({prose}, if(id % 3 = 0, '-', '/'), {prose})", "''", f"concat({loose}, ':')", "''"),
+        (0, prose, quoted, f"element_at(array('key =', 'api', 'key', 'the token', 'auth ='), 1 + cast(id % 5 AS int))", quoted),
+        (0, "cast(id % 100 AS string)", f"concat(element_at(array('key', 'token', 'auth'), 1 + cast(id % 3 AS int)), {assigned})", plain, "''"),
+        (0, stand_in, quoted, f"concat({name}, ' =')", quoted),
+        (0, stand_in, f"concat({passname}, {assigned}, {quoted})", plain, quoted),
+        (0, longword, "''", plain, "''"),
+        (0, longword, quoted, f"concat({loose}, ':')", quoted),
+        (0, f"concat({longword}, '/', {longword})", "'https://www.example.com/'", plain, "'.html'"),
+        (0, "repeat(element_at(array('-', '_', '/', '+', '-+'), 1 + cast(id % 5 AS int)), cast(16 + id AS int))", "''", plain, "''"),
         (1, f"substr({hexed}, 1, 40)", quoted, f"concat({name}, ' =')", quoted),
         (1, f"substr({hexed}, 1, cast(16 + id % 25 AS int))", f"concat({name}, '=')", plain, "''"),
         (1, f"substr({hexed}, 1, cast(16 + id % 17 AS int))", f"concat({name}, ':', {quoted})", plain, quoted),
@@ -172,7 +253,11 @@ def secrets_of(findings: Column) -> Column:
 
 
 def redacted(text: Column, secrets: Column, mask: str = MASK) -> Column:
-    return F.when(F.size(secrets) > 0, F.aggregate(secrets, text, lambda t, s: F.replace(t, s, F.lit(mask)))).otherwise(text)
+    def masked(t, s):
+        alone = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(s, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.when(F.length(s) < 16, F.regexp_replace(t, alone, F.lit(mask))).otherwise(F.replace(t, s, F.lit(mask)))
+
+    return F.when(F.size(secrets) > 0, F.aggregate(secrets, text, masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, model, path_col: str | None = None, mask: str = MASK) -> DataFrame:

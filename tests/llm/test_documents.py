@@ -184,6 +184,24 @@ def test_secret_scan_finds_and_masks(spark):
     assert secrets.redact(frame(spark, []), model, "source").count() == 0
 
 
+def test_secret_values_of_any_shape(spark):
+    """Short, punctuated and digitless secrets are judged, and none leaves its head in the text."""
+    long_head = "qZxKvBnMwPlRtYcD-" * 20 + "7"
+    hidden = [("password = {}", "hunter2"), ('password: "{}"', "Tr0ub4dor&3"), ("export DB_PASSWORD={} now", "s3cr.et!x"),
+              ('{{"user":"bob","password":"{}"}}', "p@ss~w0rd"), ('api_key = "{}"', "qZxKvBnMwPlRtYcD"),
+              ('accessToken = "{}"', "aB.c$9xQ2"), ('password "{}"', "letmein!9"), ("password = {}", "letmein"),
+              ('token = "{}"', long_head), ("secret={}", "\\E.b9$Q1z")]
+    plain = ["the key: practice makes perfect", "Password: Must be 8 characters", "password=os.environ[1]", "monkey: banana",
+             "internationalization of telecommunications", "password = null", "-" * 40]
+    texts = [t.format(x) for t, x in hidden] + plain + ["password = letmein and letmein2 or letmein."]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in secrets.redact(docs, secrets.train(secrets.labelled_findings(spark))).collect()}
+    for i, (t, x) in enumerate(hidden):
+        assert got[i] == t.format("[SECRET]"), (i, x)
+    assert [got[len(hidden) + i] for i in range(len(plain))] == plain
+    assert got[len(texts) - 1] == "password = [SECRET] and letmein2 or [SECRET]."
+
+
 def test_min_cost_flow_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(40):
