@@ -13,6 +13,7 @@ from concordia.operators import explain as ex
 from concordia.operators import treeshap as ts
 from concordia.operators.models import LinearLogit
 from concordia.plans import catalog_explain as ce
+from concordia.plans import catalog_lime as cl
 
 from conftest import SF001
 
@@ -123,3 +124,10 @@ def test_tree_shap_of_a_hundred_trees_needs_no_shuffle(spark):
         return total
 
     assert all(abs(got[i] - output(x)) < 1e-9 for i, x in rows)
+
+
+def test_merged_surrogate_equals_the_registered_weights(spark):
+    """The merge explains a row as ``a3_lime_weights`` does: same perturbations, same values."""
+    merged = {(r.id, r.feature): r.lime_value for r in cl.q_j1_merge_attributions(spark, SF001).collect()}
+    weights = {(r.id, r.feature): r.lime_value for r in cl.q_a3_lime_weights(spark, SF001).collect()}
+    assert merged and merged == weights
