@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..session import scratch_path
 
 
@@ -224,19 +225,22 @@ def tree_shap(ens: CompiledEnsemble, test: DataFrame, feature_names: Sequence[st
 
 # ------------------------------------------------------- a data-derived tree
 def median_split_tree(train: DataFrame, label: str = "label") -> dict[int, Node]:
-    """A depth-2 regression tree grown by median splits, fitted with three
-    small aggregates over the training rows:
+    """A depth-2 regression tree grown by median splits, its medians taken from
+    grouped counts (no task holds a column's distinct values):
 
     root: x[0] <= median(x[0]); left child: x[2] <= median of x[2] on the
     left rows; right child: x[0] again, at the median of x[0] on the right
     rows (a repeated feature). Leaf value = mean label, cover = row count.
     """
     x0, x2 = F.element_at("x", 1), F.element_at("x", 3)
-    t0 = train.agg(F.percentile(x0, 0.5)).first()[0]
+
+    def medians(**of):
+        got = exact_quantiles(train.select(*[c.alias(name) for name, c in of.items()]), list(of), (0.5,))
+        return [got[name][1][0] if got[name][1] else None for name in of]
+
+    t0, = medians(t0=x0)
     left = x0 <= F.lit(t0)
-    r = train.agg(F.percentile(F.when(left, x2), 0.5).alias("t1"),
-                  F.percentile(F.when(~left, x0), 0.5).alias("t2")).first()
-    t1, t2 = r["t1"], r["t2"]
+    t1, t2 = medians(t1=F.when(left, x2), t2=F.when(~left, x0))
     leaf = F.when(left & (x2 <= F.lit(t1)), 3).when(left, 4) \
         .when(x0 <= F.lit(t2), 5).otherwise(6)
     stats = {row["leaf"]: (row["n"], row["v"]) for row in

@@ -131,3 +131,17 @@ def test_merged_surrogate_equals_the_registered_weights(spark):
     merged = {(r.id, r.feature): r.lime_value for r in cl.q_j1_merge_attributions(spark, SF001).collect()}
     weights = {(r.id, r.feature): r.lime_value for r in cl.q_a3_lime_weights(spark, SF001).collect()}
     assert merged and merged == weights
+
+
+def test_median_split_tree_without_a_column_in_one_buffer(spark, frames, monkeypatch):
+    train, _ = frames
+    x = np.array([r.x for r in train.select("x").collect()])
+    t0 = np.median(x[:, 0])
+    want = [t0, np.median(x[x[:, 0] <= t0, 2]), np.median(x[x[:, 0] > t0, 0])]
+
+    def refuse(*_):
+        raise AssertionError("percentile keeps every distinct value in one task")
+
+    monkeypatch.setattr(ts.F, "percentile", refuse)
+    nodes = ts.median_split_tree(train)
+    assert np.allclose([nodes[i].threshold for i in range(3)], want, rtol=1e-12)
