@@ -8,6 +8,10 @@ DataFrame with a ``pred`` column (positive-class probability). Two kinds:
 * :class:`SparkMLScorer` - any fitted ``pyspark.ml`` classifier / pipeline;
   the array becomes a vector with ``array_to_vector`` and ``model.transform``
   scores it, all on the JVM.
+
+``array_fn`` gives the same model as a function of a NumPy matrix, for
+explainers that build perturbed rows inside a task (None: no such form). The
+functions are closures over plain arrays, so workers need no package.
 """
 
 from __future__ import annotations
@@ -37,6 +41,16 @@ class LinearLogit:
     def predict(self, df: DataFrame, arr_col: str, out: str = "pred") -> DataFrame:
         return df.withColumn(out, self.prob(F.col(arr_col)))
 
+    def array_fn(self, spark=None):
+        import numpy as np
+
+        weights, intercept = np.array(self.weights, float), float(self.intercept)
+
+        def score(x):
+            return 1.0 / (1.0 + np.exp(-(x @ weights + intercept)))
+
+        return score
+
 
 class SparkMLScorer:
     """Wrap a fitted Spark ML model that reads a ``features`` vector."""
@@ -56,6 +70,48 @@ class SparkMLScorer:
             p = F.col("prediction").cast("double")
         return scored.select(*[F.col(c) for c in keep], p.alias(out))
 
+    def array_fn(self, spark=None):
+        """Boosted trees and forests from their node tables; None for other models."""
+        from .treeshap import nodes_from_spark_model
+
+        name = type(self.model).__name__
+        if spark is None or name not in ("GBTClassificationModel", "RandomForestClassificationModel"):
+            return None
+        kind = "gbt" if name.startswith("GBT") else "rf"
+        trees, weights = nodes_from_spark_model(spark, self.model, kind)
+        return forest_fn(trees, weights, logistic=kind == "gbt")
+
+
+def forest_fn(trees: Sequence, weights: Sequence[float], logistic: bool):
+    """Weighted sum of trees as a function of a matrix; ``logistic``: as 1 / (1 + exp(-2 sum))."""
+    import numpy as np
+
+    tables = []
+    for (nodes, root), weight in zip(trees, weights):
+        at = {i: k for k, i in enumerate([root] + [i for i in nodes if i != root])}
+        cols = [[], [], [], [], []]
+        for i, k in at.items():
+            n = nodes[i]
+            leaf = n.left < 0
+            for c, v in zip(cols, (0 if leaf else n.feature, n.threshold, k if leaf else at[n.left],
+                                   k if leaf else at[n.right], weight * n.value)):
+                c.append(v)
+        depth, level = 0, [root]
+        while level := [c for i in level if nodes[i].left >= 0 for c in (nodes[i].left, nodes[i].right)]:
+            depth += 1
+        tables.append((depth, *(np.array(c, t) for c, t in zip(cols, (int, float, int, int, float)))))
+
+    def score(x):
+        total, rows = np.zeros(len(x)), np.arange(len(x))
+        for depth, feature, threshold, left, right, value in tables:
+            at = np.zeros(len(x), int)
+            for _ in range(depth):
+                at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
+            total += value[at]
+        return 1.0 / (1.0 + np.exp(-2.0 * total)) if logistic else total
+
+    return score
+
 
 class TreeScorer:
     """One decision tree (a node table) as a column expression over the feature array."""
@@ -76,6 +132,9 @@ class TreeScorer:
 
         return df.withColumn(out, at(self.root))
 
+    def array_fn(self, spark=None):
+        return forest_fn([(self.nodes, self.root)], [1.0], logistic=False)
+
 
 def features_array(cols: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])

@@ -33,8 +33,9 @@ def model_for(target: str) -> LinearLogit:
 
 def split_frames(spark, sf, label="y"):
     r = frames.order_risk_split(Tables(spark, sf))
-    base = materialize(r.select(F.col("o_orderkey").alias("id"), "split", features_array(FEATURES).alias("x"),
-                                F.col(label).alias("label")))
+    # spread before it is written, so explainers work on rows where they lie
+    base = materialize(ex.spread(r.select(F.col("o_orderkey").alias("id"), "split", features_array(FEATURES).alias("x"),
+                                          F.col(label).alias("label"))))
     return base.where(F.col("split") == "train"), base.where(F.col("split") == "test")
 
 
