@@ -1,91 +1,78 @@
-"""Oversampling of the minority class (F6) and the balanced export.
+"""Oversampling of smaller classes (F6) and the balanced export.
 
-Synthetic rows lie between a minority row and one of its k nearest minority
-rows. Neighbours are found without pairing the class with itself: rows are
-numbered along L fixed hash directions (distributed row numbers); a row's
-candidates are the k rows on either side along each, at most 2kL, of which the
-k nearest count. That is n log n and approximate: a near neighbour that lies
-far along every direction is missed. Every draw comes from the portable hash.
+Synthetic rows lie between a row and one of its k nearest rows of the same
+class; neighbours are exact (:mod:`.neighbours`). Every class smaller than the
+largest one is brought to its size. Every draw comes from the portable hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO_32, uhash32
 from ..functions.ordering import row_number
 from ..session import materialize
+from .neighbours import nearest
 
 K_NEIGHBOURS = 5
-DIRECTIONS = 4
-
-
-def direction_weights(p: int, directions: int = DIRECTIONS, seed: str = "smote") -> list[list[float]]:
-    """Fixed hash directions with weights in [-1, 1)."""
-    import hashlib
-
-    def draw(level, j):
-        return int(hashlib.md5(f"{seed}|{level}|{j}".encode()).hexdigest()[:8], 16) / TWO_32 * 2 - 1
+#: A label column with more values is no class label.
+MAX_CLASSES = 1000
 
-    return [[draw(level, j) for j in range(p)] for level in range(directions)]
 
+def class_sizes(train: DataFrame, label: str) -> dict:
+    """Rows of every class (labels that are not null), smallest label first."""
+    counts = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    return {r[label]: r["n"] for r in sorted(counts, key=lambda r: r[label])}
 
-def projected_neighbours(rows: DataFrame, p: int, k: int = K_NEIGHBOURS, directions: int = DIRECTIONS,
-                         seed: str = "smote") -> DataFrame:
-    """``(id, neighbour, nx, rank)``: the k nearest of each row's candidates, ties to the smaller id."""
-    along = None
-    for level, w in enumerate(direction_weights(p, directions, seed)):
-        place = F.lit(0.0)
-        for j in range(p):
-            place = place + F.lit(w[j]) * F.element_at("x", j + 1)
-        part = rows.select("id", "x", F.lit(level).alias("level"), place.alias("place"))
-        along = part if along is None else along.unionByName(part)
-    ranked = materialize(row_number(along, [F.col("place").asc(), F.col("id").asc()], ["level"], out="r"))
-    steps = [s for s in range(-k, k + 1) if s]
-    asks = ranked.select("id", "x", "level", F.explode(F.array(*[F.col("r") + F.lit(s) for s in steps])).alias("r"))
-    near = asks.join(ranked.select(F.col("id").alias("neighbour"), F.col("x").alias("nx"), "level", "r"), ["level", "r"]) \
-        .dropDuplicates(["id", "neighbour"])
-    d = F.lit(0.0)
-    for j in range(p):
-        gap = F.element_at("x", j + 1) - F.element_at("nx", j + 1)
-        d = d + gap * gap
-    # at most 2 k L candidates a row
-    w = Window.partitionBy("id").orderBy("d", "neighbour")
-    return near.withColumn("d", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("id", "neighbour", "nx", "rank")
 
+def smote(train: DataFrame, p: int, label: str = "label", k: int = K_NEIGHBOURS, seed: str = "smote") -> DataFrame:
+    """``(id, x, label, base, neighbour)``: synthetic rows that bring every class to the size of the largest.
 
-def smote(train: DataFrame, p: int, label: str = "label", k: int = K_NEIGHBOURS, directions: int = DIRECTIONS,
-          seed: str = "smote") -> DataFrame:
-    """``(id, x, label, base, neighbour)``: synthetic rows that bring the smaller class (0 or 1) to parity.
-
-    Ids are fresh: they continue after the largest train id. No rows when the
-    classes are even or the smaller one has fewer than two rows.
+    Ids are fresh: they continue after the largest train id, class by class in
+    order of the label. A class of one row stays as it is; so do even classes.
     """
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    minority, n, need = (1, n1, n0 - n1) if n1 <= n0 else (0, n0, n1 - n0)
+    sizes = class_sizes(train, label)
+    kind = train.schema[label].dataType
     spark = train.sparkSession
-    if n < 2 or need <= 0:
-        return spark.createDataFrame([], "id long, x array<double>, label int, base long, neighbour long")
+    out = spark.createDataFrame([], "id long, x array<double>") \
+        .select("id", "x", F.lit(None).cast(kind).alias(label), *[F.lit(None).cast("long").alias(c) for c in ("base", "neighbour")])
+    goal, done = max(sizes.values(), default=0), 0
     top = train.agg(F.max("id")).first()[0]
-    rows = materialize(train.where(F.col(label) == minority).select("id", "x"))
-    near = projected_neighbours(rows, p, k, directions, seed)
-    bases = row_number(rows, [F.col("id").asc()], out="r")
-    draws = spark.range(need).select(
-        F.col("id").alias("i"), (uhash32(f"{seed}-row", "id") % F.lit(n) + 1).alias("r"),
-        uhash32(f"{seed}-near", "id").alias("pick"), (uhash32(f"{seed}-step", "id") / F.lit(float(TWO_32))).alias("u"))
-    found = near.groupBy("id").agg(F.max("rank").alias("k"))
-    chosen = draws.join(bases, "r").join(found, "id").withColumn("rank", (F.col("pick") % F.col("k") + 1).cast("int"))
-    return chosen.join(near, ["id", "rank"]).select(
-        (F.lit(top) + 1 + F.col("i")).alias("id"),
-        F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("x"),
-        F.lit(minority).alias(label), F.col("id").alias("base"), "neighbour")
-
-
-def balanced_export(train: DataFrame, test: DataFrame, p: int, label: str = "label", **params) -> DataFrame:
-    """Train, its synthetic rows and test in one frame with ``Set_Type`` and ``synthetic``."""
+    for value, n in sizes.items():
+        need = goal - n
+        if n < 2 or need == 0:
+            continue
+        rows = materialize(train.where(F.col(label) == F.lit(value)).select("id", "x"))
+        near = materialize(nearest(rows, p, k))
+        bases = row_number(rows, [F.col("id").asc()], out="r")
+        draws = spark.range(done, done + need).select(
+            F.col("id").alias("i"), (uhash32(f"{seed}-row", "id") % F.lit(n) + 1).alias("r"),
+            uhash32(f"{seed}-near", "id").alias("pick"), (uhash32(f"{seed}-step", "id") / F.lit(float(TWO_32))).alias("u"))
+        chosen = draws.join(bases, "r").withColumn("rank", (F.col("pick") % F.lit(min(k, n - 1)) + 1).cast("int"))
+        ends = rows.select(F.col("id").alias("neighbour"), F.col("x").alias("nx"))
+        out = out.unionByName(chosen.join(near, ["id", "rank"]).join(ends, "neighbour").select(
+            (F.lit(top) + 1 + F.col("i")).alias("id"),
+            F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("x"),
+            F.lit(value).cast(kind).alias(label), F.col("id").alias("base"), "neighbour"))
+        done += need
+    return out
+
+
+def balanced_export(train: DataFrame, test: DataFrame, p: int, label: str | Sequence[str] = "label",
+                    **params) -> DataFrame | None:
+    """Train, its synthetic rows and test in one frame with ``Set_Type`` and ``synthetic``.
+
+    None for several labels: they have no common balance, and the export is skipped.
+    """
+    if not isinstance(label, str):
+        if len(label) != 1:
+            return None
+        label = label[0]
     columns = ["id", "x", label]
     real = train.select(*columns).withColumns({"Set_Type": F.lit("Train"), "synthetic": F.lit(0)})
     made = smote(train, p, label, **params).select(*columns).withColumns({"Set_Type": F.lit("Train"), "synthetic": F.lit(1)})

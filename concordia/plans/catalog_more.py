@@ -14,6 +14,7 @@ from ..operators import balance as bl
 from ..operators import explain as ex
 from ..operators import hierarchy as hy
 from ..operators import models as md
+from ..operators import neighbours as nb
 from ..operators import quality as q
 from ..operators import sample as sm
 from ..operators import treeshap as ts
@@ -54,6 +55,13 @@ def q_f6_smote(spark, sf):
                        *[F.round(F.element_at("x", j + 1), R6).alias(n) for j, n in enumerate(DOC_FEATURES)])
 
 
+def q_f6_nearest_neighbours(spark, sf):
+    """The five nearest rows of the same class of every late-risk train order."""
+    train, _ = ce.split_frames(spark, sf)
+    got = nb.nearest(train.where("label = 1").select("id", "x"), ce.P, bl.K_NEIGHBOURS)
+    return got.select("id", "neighbour", "rank", F.round(F.sqrt("d"), 4).alias("distance"))
+
+
 def q_s8_balanced_export(spark, sf):
     train, test = _doc_quality(spark, sf)
     path = scratch_path(spark, f"balanced-{uuid.uuid4().hex}")
@@ -164,6 +172,7 @@ def q_a1_model_additivity(spark, sf):
 
 QUERIES = {
     "f6_smote": q_f6_smote,
+    "f6_nearest_neighbours": q_f6_nearest_neighbours,
     "s8_balanced_export": q_s8_balanced_export,
     "a5_ablation_exact": q_a5_ablation_exact,
     "s13_contract_skip": q_s13_contract_skip,
@@ -179,10 +188,6 @@ QUERIES = {
 # ----------------------------------------------------------------- oracles
 def _smote_cte():
     k, x = bl.K_NEIGHBOURS, [f"x{j}" for j in range(DOC_P)]
-    along = " UNION ALL ".join(
-        f"SELECT id, {', '.join(x)}, {level} AS level, 0.0::DOUBLE"
-        + "".join(f" + {v!r}::DOUBLE * x{j}" for j, v in enumerate(w)) + " AS place FROM mi"
-        for level, w in enumerate(bl.direction_weights(DOC_P)))
     d = "0.0::DOUBLE" + "".join(f" + (a.x{j} - b.x{j}) * (a.x{j} - b.x{j})" for j in range(DOC_P))
 
     def marks(c):
@@ -196,19 +201,16 @@ def _smote_cte():
     cn AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, max(id) AS top FROM tn),
     pa AS (SELECT *, CASE WHEN n1 <= n0 THEN 1 ELSE 0 END AS minority, least(n0, n1) AS n, abs(n0 - n1) AS need FROM cn),
     mi AS (SELECT tn.* FROM tn, pa WHERE label = minority),
-    al AS ({along}),
-    ra AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY place, id) AS r FROM al),
-    ne AS (SELECT DISTINCT a.id, b.id AS neighbour, {d} AS d, {', '.join(f'b.x{j} AS nx{j}' for j in range(DOC_P))}
-           FROM ra a JOIN ra b ON a.level = b.level AND b.r BETWEEN a.r - {k} AND a.r + {k} AND b.r <> a.r),
-    nk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM ne) WHERE rank <= {k}),
-    fo AS (SELECT id, max(rank) AS k FROM nk GROUP BY id),
+    nk AS (SELECT * FROM (SELECT a.id, b.id AS neighbour, {', '.join(f'b.{c} AS n{c}' for c in x)},
+                  row_number() OVER (PARTITION BY a.id ORDER BY {d}, b.id) AS rank
+           FROM mi a JOIN mi b ON a.id <> b.id) WHERE rank <= {k}),
     ba AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM mi),
     dr AS (SELECT i, {sql_uhash32('smote-row', 'i')} % n + 1 AS r, {sql_uhash32('smote-near', 'i')} AS pick,
                   {sql_uhash32('smote-step', 'i')} / {float(TWO_32)!r}::DOUBLE AS u
            FROM pa, range((SELECT need FROM pa)) s(i)),
     sy AS (SELECT pa.top + 1 + i AS id, ba.id AS base, nk.neighbour, pa.minority AS label,
                   {', '.join(f'ba.x{j} + u * (nx{j} - ba.x{j}) AS x{j}' for j in range(DOC_P))}
-           FROM dr JOIN ba USING (r) JOIN fo ON fo.id = ba.id JOIN nk ON nk.id = ba.id AND nk.rank = pick % fo.k + 1, pa)"""
+           FROM dr JOIN ba USING (r), pa JOIN nk ON nk.id = ba.id AND nk.rank = pick % least({k}, pa.n - 1) + 1)"""
 
 
 def _tree_cte():
@@ -250,6 +252,11 @@ def _hier_sql():
 ORACLES = {
     "f6_smote": f"""WITH {_smote_cte()}
         SELECT id, base, neighbour, label, {', '.join(f'round(x{j}, {R6}) AS {n}' for j, n in enumerate(DOC_FEATURES))} FROM sy""",
+    "f6_nearest_neighbours": f"""WITH {ce.BASE_CTE}, mi AS (SELECT tr.* FROM tr JOIN ors ON ors.o_orderkey = tr.id WHERE ors.y = 1),
+        pr AS (SELECT a.id, b.id AS neighbour, 0.0::DOUBLE{''.join(f' + (a.x{j} - b.x{j}) * (a.x{j} - b.x{j})' for j in range(ce.P))} AS d
+               FROM mi a JOIN mi b ON a.id <> b.id)
+        SELECT id, neighbour, rank, round(sqrt(d), 4) AS distance FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM pr) WHERE rank <= {bl.K_NEIGHBOURS}""",
     "s8_balanced_export": f"""WITH {_smote_cte()},
         al2 AS (SELECT 'Train' AS Set_Type, label, 0 AS synthetic, id, x0 FROM tn
                 UNION ALL SELECT 'Train', label, 1, id, x0 FROM sy
