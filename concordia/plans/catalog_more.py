@@ -82,6 +82,18 @@ def q_a5_ablation_exact(spark, sf):
                     F.round("ablation_value", R6).alias("ablation_value"))
 
 
+def q_a6_cumulative_exact(spark, sf):
+    """Exact expectation of cumulative ablation for the same tree, masked in order of its exact marginal ablation."""
+    train, test = ce.split_frames(spark, sf)
+    nodes = ts.median_split_tree(train)
+    tree = md.TreeScorer(nodes)
+    marginal = ex.marginal_ablation_exact(tree, train, test, ce.FEATURES, tree.cuts(ce.P))
+    c = ex.cumulative_ablation_exact(ts.compile_ensemble([nodes], [1.0], ce.P), train, test, ce.FEATURES, marginal)
+    return c.select("id", "step", "feature", "feature_value",
+                    *[F.round(k, R6).alias(k) for k in ("base_value", "original_prediction",
+                                                         "current_prediction", "cum_ablation_value")])
+
+
 # ------------------------------------------------------------------- S13, S14
 def q_s13_contract_skip(spark, sf):
     wide = materialize(frames.importance_wide(Tables(spark, sf)))
@@ -175,6 +187,7 @@ QUERIES = {
     "f6_nearest_neighbours": q_f6_nearest_neighbours,
     "s8_balanced_export": q_s8_balanced_export,
     "a5_ablation_exact": q_a5_ablation_exact,
+    "a6_cumulative_exact": q_a6_cumulative_exact,
     "s13_contract_skip": q_s13_contract_skip,
     "s14_summary_sink": q_s14_summary_sink,
     "g5_hierarchical_rows": q_g5_hierarchical_rows,
@@ -234,6 +247,24 @@ _A5_EXACT = f"""WITH {ce.BASE_CTE}, {_tree_cte()},
     FROM o JOIN e0 USING (id) JOIN e2 USING (id), base, {ce.FEAT_SQL}"""
 
 
+_A6_EXACT = f"""WITH {ce.BASE_CTE}, {_tree_cte()},
+    base AS (SELECT avg({_tree_pred('x0', 'x2')}) AS base FROM tr, th, st),
+    e0 AS (SELECT te.id, avg({_tree_pred('b.b0', 'te.x2')}) AS e FROM te, bg b, th, st GROUP BY te.id),
+    e2 AS (SELECT te.id, avg({_tree_pred('te.x0', 'b.b2')}) AS e FROM te, bg b, th, st GROUP BY te.id),
+    o AS (SELECT te.*, {_tree_pred('x0', 'x2')} AS orig, e0.e AS e0, e2.e AS e2
+          FROM te JOIN e0 USING (id) JOIN e2 USING (id), th, st),
+    mean AS (SELECT fn.feature, fn.j, avg(CASE fn.j WHEN 0 THEN abs(orig - e0) WHEN 2 THEN abs(orig - e2) ELSE 0.0 END) AS m
+             FROM o, {ce.FEAT_SQL} GROUP BY ALL),
+    ord AS (SELECT *, row_number() OVER (ORDER BY m, feature) AS step FROM mean),
+    pos AS (SELECT max(step) FILTER (j = 0) AS s0, max(step) FILTER (j = 2) AS s2 FROM ord),
+    cur AS (SELECT o.id, s.step, CASE WHEN s.step >= s0 AND s.step >= s2 THEN base WHEN s.step >= s0 THEN e0
+                   WHEN s.step >= s2 THEN e2 ELSE orig END AS cur FROM o, pos, base, range({ce.P + 1}) s(step))
+    SELECT o.id, ord.step, ord.feature, [{', '.join(f'o.x{k}' for k in range(ce.P))}][ord.j + 1] AS feature_value,
+           round(base, {R6}) AS base_value, round(orig, {R6}) AS original_prediction, round(c.cur, {R6}) AS current_prediction,
+           round(abs(c.cur - b.cur), {R6}) AS cum_ablation_value
+    FROM o JOIN cur c ON c.id = o.id JOIN cur b ON b.id = o.id AND b.step = c.step - 1 JOIN ord ON ord.step = c.step, base"""
+
+
 def _hier_sql():
     def mean(m):
         return f"round(cast(sum(cast(round({m} * 10000) AS bigint)) AS double) / count({m})) / 10000.0"
@@ -264,6 +295,7 @@ ORACLES = {
         SELECT Set_Type, label, synthetic, count(*) AS n, count(DISTINCT id) AS ids, round(sum(x0) / count(*), 4) AS mean_chars
         FROM al2 GROUP BY ALL""",
     "a5_ablation_exact": _A5_EXACT,
+    "a6_cumulative_exact": _A6_EXACT,
     "s13_contract_skip": f"""WITH imp AS ({frames.sql_importance_long()})
         SELECT d.dataset, 'kept' AS status, (SELECT count(*) FROM imp) AS n FROM (VALUES ('whole'), ('extra')) d(dataset)
         UNION ALL SELECT 'broken', 'skipped', 0""",
