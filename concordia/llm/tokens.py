@@ -16,13 +16,15 @@ ends within a character covers that character.
 
 Defined results: null and empty texts have one empty section and no tokens;
 repeated rows are counted each; documents are independent, so nothing is
-shuffled, and memory follows the longest document.
+shuffled, and memory follows the longest document. Very long runs of white
+space, letters, digits or signs are encoded like any text.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the vocabulary's own pre-splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("start", "end", "majority", "split")
+#: Runs of white space over this length are encoded apart from the text around them.
+LONG_SPACE = 10_000
+# What the pattern's white space is.
+_LONG = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % (LONG_SPACE + 1))
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -57,10 +63,24 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def encode_whole(enc, text: str) -> list[int]:
+    """A text's ids. The library's pattern search recurses through white space, so a long run is cut out: the pattern
+    takes all of it but the last character before a word as one piece, which is encoded as such."""
+    out, done = [], 0
+    for run in _LONG.finditer(text):
+        a, b = run.span()
+        if b < len(text):
+            b -= 1
+        out += enc.encode_ordinary(text[done:a])
+        out += enc._encode_single_piece(text[a:b].encode())
+        done = b
+    return out + enc.encode_ordinary(text[done:]) if done else enc.encode_ordinary(text)
+
+
 def token_spans(path: str, text: str):
     """``(ids, first character, end character)`` of a text's tokens."""
     enc, sizes = encoder(path)
-    ids = np.array(enc.encode_ordinary(text), dtype=np.int64)
+    ids = np.array(encode_whole(enc, text), dtype=np.int64)
     ends = np.cumsum(sizes[ids])
     raw = np.frombuffer(text.encode(), np.uint8)
     if len(raw) == len(text):
