@@ -216,8 +216,9 @@ def plan_mix(docs: DataFrame, members: Column, size: Column, targets, prices=PRI
             for p, (end, words) in _ranges(sized, left, least, largest, stop).items():
                 rules[extra][p].append((least[p], end, largest[p]))
                 gap = left[p] - words
-                if gap > stop[p] and end < 1 << HASH_BITS and (words or first):
-                    again[p], least[p] = gap, end
+                if gap > stop[p] and end < 1 << HASH_BITS:
+                    # equal rows share a hash and are taken together or not at all: go on behind those that don't fit
+                    again[p], least[p] = gap, end if words or first else end + 1
                 elif gap > stop[p]:
                     unfilled[p] = gap
             left, first = again, False
