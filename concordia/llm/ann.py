@@ -18,10 +18,9 @@ operations, so equal vectors tie exactly and ties go to the smaller id.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component, and rows with a null id, take no part; repeated rows (equal id and
-vector) count once; with fewer than k other vectors a query returns them all
-that it reaches (every part is visited when the index holds at most ``sample``
-vectors); vectors of another length than the most common one of the sample are
-no candidates.
+vector) count once; a query that met fewer than k others in its parts visits
+the rest, so with fewer than k other vectors it returns them all; vectors of
+another length than the most common one of the sample are no candidates.
 """
 
 from __future__ import annotations
@@ -211,20 +210,42 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     rows, dtype = packed(vectors, id_col, vector_col)
     rows = materialize(rows.where("raw IS NOT NULL AND vec_id IS NOT NULL").dropDuplicates(["vec_id", "raw"]))
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "raw").limit(sample).select("dim", "raw").collect()
-    schema = "query_id long, vec_id long, score double"
     if not fitted:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = [r["dim"] for r in fitted]
     dim = max(sorted(set(dims)), key=dims.count)
     router = fit(matrix([bytes(r["raw"]) for r in fitted if r["dim"] == dim], dtype, dim), parts, k, recall)
     n_parts = router.weight.shape[1]
-    if len(fitted) < sample:
-        router.probes = n_parts  # a small index is searched whole
     held = materialize(rows.where(F.col("dim") == dim).select("vec_id", "raw").mapInArrow(
-        _route(router, dtype, dim, router.probes), "vec_id long, raw binary, parts array<int>"))
+        _route(router, dtype, dim, n_parts), "vec_id long, raw binary, parts array<int>"))
+    queries = held.where(is_query)
+
+    def visited(which: DataFrame, first: int, count: int) -> DataFrame:
+        return which.select("vec_id", "raw", F.explode(F.slice("parts", first, count)).alias("part"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        # k rows a block and query at most
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) \
+            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+            .select("query_id", "rank", "vec_id", "score")
+
+    got = materialize(ranked(_search(held, visited(queries, 1, router.probes), dtype, dim, k, block)))
+    if router.probes == n_parts:
+        return got
+    # the parts left out, for queries that met fewer than k others
+    met = got.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("met"))
+    short = queries.join(met, "vec_id", "left").where(F.coalesce("met", F.lit(0)) < k)
+    if short.isEmpty():
+        return got
+    rest = _search(held, visited(short, router.probes + 1, n_parts), dtype, dim, k, block)
+    return ranked(got.drop("rank").unionByName(rest))
+
+
+def _search(held: DataFrame, asked: DataFrame, dtype, dim: int, k: int, block: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best k of every (block, group of queries) of the parts that ``asked`` names."""
     # blocks of a part, groups of the queries routed to it: one row a part (``parts`` rows at most)
     sizes = held.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
-    asked = held.where(is_query).select("vec_id", "raw", F.explode("parts").alias("part"))
     groups = asked.groupBy("part").agg(F.ceil(F.count("*") / F.lit(QUERY_GROUP)).alias("groups"))
     plan = F.broadcast(sizes.join(groups, "part"))
 
@@ -237,12 +258,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
                 F.lit(False).alias("query"))
     asks = asked.join(plan, "part").select("vec_id", "raw", "part", upto("blocks").alias("b"),
                                            F.pmod(h, F.col("groups")).alias("g"), F.lit(True).alias("query"))
-    best = data.unionByName(asks).groupBy("part", "b", "g").applyInArrow(_rerank(dtype, dim, k), schema)
-    # k rows a block and query at most
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) \
-        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")
+    return data.unionByName(asks).groupBy("part", "b", "g").applyInArrow(
+        _rerank(dtype, dim, k), "query_id long, vec_id long, score double")
 
 
 def op8_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
