@@ -64,16 +64,15 @@ def signatures(docs: DataFrame, size: int, k: int, seed: int) -> DataFrame:
                     sigs.append(S.minhash(u, params) if len(u) else None)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, len(n)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                     pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "key", "sig"])
+                     pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<int>")
+        .mapInArrow(run, "doc_id long, n_shingles long, key binary, sig array<long>")
 
 
 def prefix_postings(reps: DataFrame, k: int, t: int) -> DataFrame:
     """``(tok, id)``: each class's rarest ``k - t + 1`` coordinate-value pairs, as far as another class has them."""
-    tok = (F.col("pos").cast("long") * F.lit(1 << 31)) + F.col("value").cast("long")
-    tokens = reps.select("id", F.posexplode("sig").alias("pos", "value")).select("id", tok.alias("tok"))
+    tokens = reps.select("id", F.posexplode("sig").alias("pos", "value")).select("id", F.xxhash64("pos", "value").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df >= 2")
     shared = tokens.join(df, "tok")
     # k rows per class at most: the window never grows with the data
@@ -201,11 +200,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group (the smallest doc_id, one row of it)."""
-    kept = near_duplicates(docs, **params).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct() \
-        .withColumnRenamed("doc_id", "__kept")
-    stay = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id's, null ids last.
+
+    Rows are compared, not ids: rows that share an id but differ stay unless
+    their texts are near copies; rows equal in every column count as one, with
+    or without an id. Texts without a word are linked with nothing and all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumns({f"__row{i}": F.xxhash64(F.lit(i), *columns) for i in range(2)})
+    full = F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    worded = rows.where(full)
+    near = near_duplicates(worded.select(F.col("__row0").alias("doc_id"), "text"), **params)
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row0")).alias("first")
+    kept = worded.select("__row0", F.col("doc_id").alias("__id")) \
+        .join(near.select(F.col("doc_id").alias("__row0"), "component_id"), "__row0") \
+        .groupBy("component_id").agg(first).select("first.__row0")
+    stay = worded.join(kept, "__row0", "left_semi").dropDuplicates(["__row0", "__row1"])
+    return stay.unionByName(rows.where(~full)).drop("__row0", "__row1")
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def minhash_params(k: int, seed: int):
 
 
 def minhash(u: np.ndarray, params) -> np.ndarray:
-    """Signature of ``k`` 31-bit minima over a set of shingle hashes."""
+    """Signature of ``k`` 63-bit minima over a set of shingle hashes: wide enough that unrelated sets share none by chance."""
     a, b = params
     out = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(u), 2048):
@@ -139,4 +139,4 @@ def minhash(u: np.ndarray, params) -> np.ndarray:
         for_each = part[:, None] * a[None, :]
         for_each += b
         np.minimum(out, for_each.min(axis=0), out=out)
-    return (out >> _U(33)).astype(np.int32)
+    return (out >> _U(1)).astype(np.int64)

@@ -42,7 +42,7 @@ IDENTITY_GROUPS = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind"),
 )
-MAX_TRAIN = 6000
+MAX_TRAIN = 8000
 THRESHOLD = 0.7
 PREFIXES = (5, 6, 7, 8)
 MIN_Z = 2.5
