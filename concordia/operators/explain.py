@@ -6,14 +6,15 @@ random draw is an integer-mixer index seeded by ``md5(seed|id)`` and keyed by
 (feature|step, draw), so draws are reproducible, independent of
 partitioning and checkable in SQL.
 
-Work grows as rows x features x draws; the plan is
+Work grows as rows x features x draws. Models with an array form
+(``array_fn``) are scored where the row, or the background block that its draws
+fall into, lies (:mod:`.draws`): no draw becomes a Spark row. Other models take
+the plan
 
     explode(features) x explode(draws) -> equi-join background on (j, idx)
-    -> score (JVM expression or Spark ML transform) -> partial avg per (id, j)
+    -> score by Spark -> partial avg per (id, j)
 
-with one shuffle for the background join and one for the average. The
-background side is broadcast only when its row count (known from the
-numbering) is under ``broadcast_bytes``.
+whose background side is broadcast only under ``broadcast_bytes``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import MIX_MOD, draw_index, uhash32
 from ..functions.ordering import row_number
+from .draws import draw_means
 
 #: Size up to which a background table is broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 64 << 20
@@ -47,6 +49,15 @@ def base_value(scorer, train: DataFrame) -> float:
     return scorer.predict(train.select("x"), "x").agg(F.avg("pred")).first()[0]
 
 
+def base_values(scorers: dict, train: DataFrame) -> dict:
+    """:func:`base_value` of several models in one pass."""
+    scored = train.select("x")
+    for i, s in enumerate(scorers.values()):
+        scored = s.predict(scored, "x", out=f"__b{i}")
+    row = scored.agg(*[F.avg(f"__b{i}") for i in range(len(scorers))]).first()
+    return dict(zip(scorers, row))
+
+
 def spread(df: DataFrame, key: str = "id") -> DataFrame:
     """Hash-spread the rows to explain before a large fan-out (draws, samples,
     leaves): an upstream aggregate may leave them in very few partitions, and
@@ -57,6 +68,12 @@ def spread(df: DataFrame, key: str = "id") -> DataFrame:
     return df.repartition(n, key)
 
 
+def array_forms(scorers: Sequence, spark):
+    """The scorers as functions of a matrix, or None if one of them has no such form."""
+    fns = [s.array_fn(spark) if hasattr(s, "array_fn") else None for s in scorers]
+    return None if any(f is None for f in fns) else fns
+
+
 def _maybe_broadcast(df: DataFrame, rows: int, width: int, limit: int) -> DataFrame:
     """Broadcast when ``rows`` rows of ``width`` 8-byte cells stay under ``limit`` bytes."""
     return F.broadcast(df) if rows * width * 8 <= limit else df
@@ -91,6 +108,9 @@ def marginal_ablation(scorer, train: DataFrame, test: DataFrame, feature_names:
     """
     p = len(feature_names)
     bg, n_bg = background or number_background(train)
+    if array_forms([scorer], test.sparkSession):
+        return marginal_ablation_targets({"": scorer}, train, test, feature_names, n_draws, seed, broadcast_bytes, (bg, n_bg)) \
+            .drop("target_context")
     base = base_value(scorer, train)
     bg_long = bg.select("bidx", F.posexplode("x").alias("j", "v"))
     bg_long = _maybe_broadcast(bg_long, n_bg * p, 4, broadcast_bytes)
@@ -117,6 +137,22 @@ def marginal_ablation_targets(scorers: dict, train: DataFrame, test: DataFrame,
     """
     p, targets = len(feature_names), list(scorers)
     bg, n_bg = background or number_background(train)
+    fns = array_forms(list(scorers.values()), test.sparkSession)
+    if fns:
+        import numpy as np
+
+        means = base_values(scorers, train)
+        got = draw_means([(np.eye(p), f) for f in fns], bg, n_bg, test, p, range(p), n_draws, seed, broadcast_bytes)
+
+        def values(i, t):
+            return F.transform(F.slice("means", i * p + 1, p), lambda m, j: F.struct(
+                F.lit(t).alias("target_context"), j.alias("j"), F.lit(means[t]).alias("base_value"),
+                F.abs(F.col("orig")[i] - m).alias("ablation_value")))
+
+        cells = F.flatten(F.array(*[values(i, t) for i, t in enumerate(targets)]))
+        return got.select("id", "x", F.explode(cells).alias("r")).select(
+            "r.target_context", "id", F.element_at(_names(feature_names), F.col("r.j") + 1).alias("feature"),
+            F.element_at("x", F.col("r.j") + 1).alias("feature_value"), "r.base_value", "r.ablation_value")
     bg_long = _maybe_broadcast(bg.select("bidx", F.posexplode("x").alias("j", "v")), n_bg * p, 4, broadcast_bytes)
     pert = marginal_draws(spread(test), p, n_draws, n_bg, seed).join(bg_long, ["j", "bidx"]) \
         .select("id", "j", F.transform("x", lambda e, k: F.when(k == F.col("j"), F.col("v")).otherwise(e)).alias("xp"))
@@ -196,6 +232,9 @@ def cumulative_ablation(scorer, train: DataFrame, test: DataFrame, feature_names
     current_prediction, cum_ablation_value (plus ``step``).
     """
     p = len(feature_names)
+    if array_forms([scorer], test.sparkSession):
+        return cumulative_ablation_targets({"": scorer}, train, test, feature_names, ablation.withColumn("target_context", F.lit("")),
+                                           n_draws, seed, broadcast_bytes, background).drop("target_context")
     order = {r["feature"]: r["step"] for r in least_to_most(ablation).collect()}  # p rows
     step_of = F.array(*[F.lit(int(order[n])) for n in feature_names])
     feat_at_step = F.array(*[F.lit(n) for n in sorted(feature_names, key=lambda n: order[n])])
@@ -319,6 +358,52 @@ def cumulative_ablation_exact(ensemble, train: DataFrame, test: DataFrame, featu
                        F.lit(base).alias("base_value"), "original_prediction", "current_prediction", "cum_ablation_value")
 
 
+def cumulative_ablation_targets(scorers: dict, train: DataFrame, test: DataFrame, feature_names: Sequence[str],
+                                ablation: DataFrame, n_draws: int = 50, seed="cumulative",
+                                broadcast_bytes: int = BROADCAST_BYTES, background=None) -> DataFrame:
+    """A6 for several targets' models in one pass over shared draws, each masked in the order of its own ``ablation``
+    (with ``target_context``). Output: target_context and the columns of :func:`cumulative_ablation`.
+
+    Models need an array form.
+    """
+    import numpy as np
+
+    p, targets = len(feature_names), list(scorers)
+    fns = array_forms(list(scorers.values()), test.sparkSession)
+    if not fns:
+        raise ValueError("cumulative ablation of several targets needs models with an array form")
+    bg, n_bg = background or number_background(train)
+    bases = base_values(scorers, train)
+    mean = {(r["target_context"], r["feature"]): r["m"] for r in ablation.groupBy("target_context", "feature").agg(
+        F.avg("ablation_value").alias("m")).collect()}  # one row a target and feature
+    plans, orders = [], []
+    for t, f in zip(targets, fns):
+        order = sorted(range(p), key=lambda j: (mean.get((t, feature_names[j]), 0.0), feature_names[j]))
+        mask = np.zeros((p, p), bool)
+        for s, j in enumerate(order):
+            mask[s:, j] = True
+        plans.append((mask, f))
+        orders.append(order)
+    got = draw_means(plans, bg, n_bg, test, p, range(1, p + 1), n_draws, seed, broadcast_bytes)
+
+    def steps(i, t):
+        names = _names([feature_names[j] for j in orders[i]])
+        place = F.array(*[F.lit(j) for j in orders[i]])
+
+        def step(cur, s):
+            before = F.when(s == 0, F.col("orig")[i]).otherwise(F.col("means")[F.greatest(s - 1, F.lit(0)) + i * p])
+            return F.struct(F.lit(t).alias("target_context"), (s + 1).alias("step"), F.element_at(names, s + 1).alias("feature"),
+                            F.element_at("x", F.element_at(place, s + 1) + 1).alias("feature_value"),
+                            F.lit(bases[t]).alias("base_value"), F.col("orig")[i].alias("original_prediction"),
+                            cur.alias("current_prediction"), F.abs(before - cur).alias("cum_ablation_value"))
+
+        return F.transform(F.slice("means", i * p + 1, p), step)
+
+    cells = F.flatten(F.array(*[steps(i, t) for i, t in enumerate(targets)]))
+    return got.select("id", F.explode(cells).alias("r")).select("r.target_context", "id", *[f"r.{c}" for c in (
+        "step", "feature", "feature_value", "base_value", "original_prediction", "current_prediction", "cum_ablation_value")])
+
+
 # ---------------------------------------------------------------- linear SHAP
 def linear_shap(model, train: DataFrame, test: DataFrame, feature_names: Sequence[str]) -> DataFrame:
     """Exact Shapley values of a linear margin with independent features:
