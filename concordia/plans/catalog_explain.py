@@ -195,17 +195,17 @@ BASE_CTE = f"""ors AS ({frames.SQL_ORDER_RISK_SPLIT}),
     nb AS (SELECT count(*) AS n FROM tr)"""
 
 
-def _a5_cte(target="y", name="a5"):
+def _a5_cte(target="y", name="a5", draws=None, te="te"):
     cols = [f"CASE WHEN dr.j = {k} THEN bg.b{k} ELSE dr.x{k} END" for k in range(P)]
     te_cols = [f"x{k}" for k in range(P)]
     tr_cols = [f"x{k}" for k in range(P)]
     return f"""{name}_dr AS (SELECT t.*, j.j, d.d,
                   {sql_draw_index('t.rs', 'd.d', 'j.j', 'nb.n')} AS bidx
-           FROM (SELECT *, {sql_uhash32(SEED_A5, 'id')} % {MIX_MOD} AS rs FROM te) t,
-                range({P}) j(j), range({N_DRAWS}) d(d), nb),
+           FROM (SELECT *, {sql_uhash32(SEED_A5, 'id')} % {MIX_MOD} AS rs FROM {te}) t,
+                range({P}) j(j), range({draws or N_DRAWS}) d(d), nb),
     {name}_pt AS (SELECT dr.id, dr.j, {_prob(target, cols)} AS pred FROM {name}_dr dr JOIN bg USING (bidx)),
     {name}_avg AS (SELECT id, j, avg(pred) AS avg_pred FROM {name}_pt GROUP BY ALL),
-    {name}_orig AS (SELECT id, {_prob(target, te_cols)} AS orig, {', '.join(te_cols)} FROM te),
+    {name}_orig AS (SELECT id, {_prob(target, te_cols)} AS orig, {', '.join(te_cols)} FROM {te}),
     {name}_base AS (SELECT avg({_prob(target, tr_cols)}) AS base FROM tr),
     {name} AS (SELECT a.id, fn.feature,
                   [{', '.join(f'o.x{k}' for k in range(P))}][a.j + 1] AS feature_value,
@@ -213,40 +213,44 @@ def _a5_cte(target="y", name="a5"):
            FROM {name}_avg a JOIN {name}_orig o USING (id) JOIN {FEAT_SQL} USING (j), {name}_base b)"""
 
 
-_A7_CTE = """a7 AS (SELECT feature, avg(ablation_value) AS mean_ablation,
+def _a7_cte(name="a7", of="a5"):
+    return f"""{name} AS (SELECT feature, avg(ablation_value) AS mean_ablation,
                   row_number() OVER (ORDER BY avg(ablation_value), feature) AS step
-           FROM a5 GROUP BY feature)"""
+           FROM {of} GROUP BY feature)"""
 
 
-def _a6_cte():
-    ranks = ", ".join(f"(SELECT step FROM a7 WHERE feature = '{c}') AS r{k}" for k, c in enumerate(FEATURES))
+_A7_CTE = _a7_cte()
+
+
+def _a6_cte(target="y", name="a6", a7="a7", a5="a5", draws=None, te="te"):
+    ranks = ", ".join(f"(SELECT step FROM {a7} WHERE feature = '{c}') AS r{k}" for k, c in enumerate(FEATURES))
     cols = [f"CASE WHEN rk.r{k} <= dr.s THEN bg.b{k} ELSE dr.x{k} END" for k in range(P)]
-    return f"""rk AS (SELECT {ranks}),
-    a6_dr AS (SELECT t.*, s.s, d.d, {sql_draw_index('t.rs', 'd.d', 's.s', 'nb.n')} AS bidx
-              FROM (SELECT *, {sql_uhash32(SEED_A6, 'id')} % {MIX_MOD} AS rs FROM te) t,
-                   range(1, {P + 1}) s(s), range({N_DRAWS}) d(d), nb),
-    a6_pt AS (SELECT dr.id, dr.s, {_prob('y', cols)} AS pred FROM a6_dr dr JOIN bg USING (bidx), rk),
-    a6_cur AS (SELECT id, s, avg(pred) AS current_prediction FROM a6_pt GROUP BY ALL),
-    a6 AS (SELECT c.id, c.s AS step, a7.feature,
+    return f"""{name}_rk AS (SELECT {ranks}),
+    {name}_dr AS (SELECT t.*, s.s, d.d, {sql_draw_index('t.rs', 'd.d', 's.s', 'nb.n')} AS bidx
+              FROM (SELECT *, {sql_uhash32(SEED_A6, 'id')} % {MIX_MOD} AS rs FROM {te}) t,
+                   range(1, {P + 1}) s(s), range({draws or N_DRAWS}) d(d), nb),
+    {name}_pt AS (SELECT dr.id, dr.s, {_prob(target, cols)} AS pred FROM {name}_dr dr JOIN bg USING (bidx), {name}_rk rk),
+    {name}_cur AS (SELECT id, s, avg(pred) AS current_prediction FROM {name}_pt GROUP BY ALL),
+    {name} AS (SELECT c.id, c.s AS step, a.feature,
                   [{', '.join(f'o.x{k}' for k in range(P))}][fn.j + 1] AS feature_value,
                   b.base AS base_value, o.orig AS original_prediction, c.current_prediction,
                   abs(coalesce(lag(c.current_prediction) OVER (PARTITION BY c.id ORDER BY c.s), o.orig)
                       - c.current_prediction) AS cum_ablation_value
-           FROM a6_cur c JOIN a5_orig o USING (id) JOIN a7 ON a7.step = c.s
-           JOIN {FEAT_SQL} ON fn.feature = a7.feature, a5_base b)"""
+           FROM {name}_cur c JOIN {a5}_orig o USING (id) JOIN {a7} a ON a.step = c.s
+           JOIN {FEAT_SQL} ON fn.feature = a.feature, {a5}_base b)"""
 
 
-def _shap_cte():
-    b, w = frames.LINEAR_MODELS["y"]
+def _shap_cte(target="y", name="shap", te="te"):
+    b, w = frames.LINEAR_MODELS[target]
     means = ", ".join(f"avg(x{k}) AS m{k}" for k in range(P))
     base = f"{float(b)!r}::DOUBLE" + "".join(f" + {float(wi)!r}::DOUBLE * m{k}" for k, wi in enumerate(w))
     wl = "[" + ", ".join(f"{float(wi)!r}::DOUBLE" for wi in w) + "]"
     ml = "[" + ", ".join(f"m.m{k}" for k in range(P)) + "]"
     xl = "[" + ", ".join(f"te.x{k}" for k in range(P)) + "]"
-    return f"""mu AS (SELECT {means} FROM tr),
-    shap AS (SELECT te.id, fn.feature, ({xl})[fn.j + 1] AS feature_value, {base.replace('m', 'm.m')} AS base_value,
+    return f"""{name}_mu AS (SELECT {means} FROM tr),
+    {name} AS (SELECT te.id, fn.feature, ({xl})[fn.j + 1] AS feature_value, {base.replace('m', 'm.m')} AS base_value,
                     ({wl})[fn.j + 1] * (({xl})[fn.j + 1] - ({ml})[fn.j + 1]) AS shap_value
-             FROM te, mu m, {FEAT_SQL})"""
+             FROM {te} te, {name}_mu m, {FEAT_SQL})"""
 
 
 def _merged_sql(with_cum=True, with_lime=False):
