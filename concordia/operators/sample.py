@@ -6,13 +6,15 @@ the SQL oracle reproduce exactly the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO_32, uhash32
 from ..functions.ordering import row_number
+from ..functions.selection import with_smallest
 
 
 def hash_split(key: str, seed: int = 42, test_share: float = 0.3,
@@ -23,43 +25,35 @@ def hash_split(key: str, seed: int = 42, test_share: float = 0.3,
 
 
 def exact_downsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all if fewer), chosen by smallest hash.
+    """Exactly ``n`` rows (all if fewer), chosen by smallest hash: the n-th one is found by range refinement,
+    then rows are filtered; nothing is sorted."""
+    return with_smallest(df, key, lambda sizes: dict.fromkeys(sizes, n), seed=seed).where("__chosen").drop("__chosen")
 
-    Rows are numbered in hash order by distributed prefix sums, so no task
-    ever holds the n chosen rows.
-    """
-    ranked = row_number(df.withColumn("__h", uhash32(seed, key)), [F.col("__h").asc(), F.col(key).asc()], out="__rk")
-    return ranked.where(F.col("__rk") <= n).drop("__h", "__rk")
+
+def test_shares(sizes: dict, test_share: float) -> dict:
+    """Test rows per class: ``ceil(test_share * n)`` in all; of the proportional shares the whole part, the rest by
+    largest fraction (ties by class value, null first)."""
+    n = sum(sizes.values())
+    total = math.ceil(test_share * n)
+    share = {c: float(total) * k / n for c, k in sizes.items()}
+    out = {c: math.floor(v) for c, v in share.items()}
+    order = sorted(sorted(sizes, key=lambda c: (c is not None, c if c is not None else 0)),
+                   key=lambda c: out[c] - share[c])
+    for c in order[:total - sum(out.values())]:
+        out[c] += 1
+    return out
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42,
                      test_share: float = 0.3, out: str = "split") -> DataFrame:
     """Stratified split with exact test total ceil(test_share * n).
 
-    Per-class test counts: floor of the proportional share, the remainder
-    handed out by largest fractional part (ties by class value). Rows are
-    ranked inside their class by hash with the distributed row number, so a
-    class holding most of the rows is still spread over many tasks.
+    A class's test rows are those of its smallest hashes; the last one's hash is
+    found by range refinement for all classes at once, and one comparison a row
+    tells the split. A null label is a class of its own.
     """
-    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__c"))
-    w_all = Window.partitionBy()  # class table: one row per class
-    n = F.sum("__c").over(w_all)
-    n_test = F.ceil(F.lit(float(test_share)) * n)
-    # products of two counts leave 64 bits at some 10^9 rows
-    share = n_test.cast("decimal(38,0)").cast("double") * F.col("__c") / n
-    alloc = classes.select(label, "__c", n_test.alias("__nt"), F.floor(share).alias("__base"),
-                           (share - F.floor(share)).alias("__frac"))
-    alloc = alloc.withColumn("__rest", F.col("__nt") - F.sum("__base").over(w_all)) \
-        .withColumn("__rr", F.row_number().over(Window.orderBy(F.col("__frac").desc(), F.col(label).asc())))
-    alloc = alloc.select(label, (F.col("__base") + F.when(F.col("__rr") <= F.col("__rest"), 1)
-                                 .otherwise(0)).alias("__t"))
-    ranked = row_number(df.withColumn("__h", uhash32(seed, key)),
-                        [F.col("__h").asc(), F.col(key).asc()], partition_cols=[label], out="__rk")
-    # one row a class (a handful: every class needs a share of the test rows); without the
-    # broadcast the whole table would be dealt by its few label values
-    return ranked.join(F.broadcast(alloc), label) \
-        .withColumn(out, F.when(F.col("__rk") <= F.col("__t"), F.lit("test")).otherwise(F.lit("train"))) \
-        .drop("__h", "__rk", "__t")
+    got = with_smallest(df, key, lambda sizes: test_shares(sizes, test_share), label, seed)
+    return got.withColumn(out, F.when(F.col("__chosen"), F.lit("test")).otherwise(F.lit("train"))).drop("__chosen")
 
 
 def contiguous_ids(df: DataFrame, order_cols: Sequence[Column], out: str = "new_id") -> DataFrame:
