@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.sinks import rule_miner_export
 from .clean import or_label
 
 MIN_SPECIALIST_ROWS = 5
@@ -87,3 +88,18 @@ def specialist_predictions(train: DataFrame, test: DataFrame, categories: Sequen
                                     (F.col("score") >= threshold).cast("int").alias("final_pred")).unionByName(unscored)
             out = unscored if out is None else out.unionByName(unscored)
     return out
+
+
+def unified_export(train: DataFrame, test: DataFrame, categories: Sequence[Category], predictions: DataFrame, path: str,
+                   fmt: str = "parquet") -> DataFrame:
+    """the whole flow as one table, written once: both sides with the gate scores that were added along the chain and
+    their labels, the specialists' final predictions beside the test rows, and ``Set_Type``.
+
+    ``predictions``: what :func:`specialist_predictions` gives; a category without specialists predicts 0.
+    """
+    labels = [lab for c in categories for lab in c.labels]
+    # one row an id: labels are few and known
+    wide = predictions.groupBy("id").agg(*[F.max(F.when(F.col("label") == lab, F.col("final_pred"))).alias(f"pred_{lab}") for lab in labels])
+    none = [F.lit(None).cast("int").alias(f"pred_{lab}") for lab in labels]
+    rule_miner_export(train.select("*", *none), test.join(wide, "id", "left"), path, fmt)
+    return train.sparkSession.read.format(fmt).load(path)

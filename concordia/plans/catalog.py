@@ -13,6 +13,7 @@ _MODULES = [
     "concordia.plans.catalog_models",
     "concordia.plans.catalog_lime",
     "concordia.plans.catalog_more",
+    "concordia.plans.catalog_flow",
 ]
 
 
