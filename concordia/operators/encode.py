@@ -119,11 +119,47 @@ def one_hot_long(df: DataFrame, id_col: str, cols: Sequence[str], levels: DataFr
         .join(levels, ["column", "level"], "left_semi").select(quoted(id_col), "column", "level")
 
 
+def level_index(train: DataFrame, cols: Sequence[str], drop_first: bool = False) -> DataFrame:
+    """``(column, level, slot)``: the levels of :func:`level_table` numbered from 0, column after column in the given order
+    and in order of the level; ranked by distributed prefix sums, so nothing of it reaches the driver."""
+    levels = level_table(train, cols, drop_first)
+    place = F.element_at(F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(c), F.lit(i))]), F.col("column"))
+    return row_number(levels.withColumn("__at", place), [F.col("__at").asc(), F.col("level").asc()], out="__rn") \
+        .select("column", "level", (F.col("__rn") - 1).alias("slot"))
+
+
+def one_hot_sparse(df: DataFrame, id_col: str, cols: Sequence[str], index: DataFrame, out: str = "onehot",
+                   broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with one sparse vector column ``struct<size, indices>`` for all of ``cols``: the slots that are 1, ascending.
+
+    NULL and unseen levels have no slot. An index of checked size is broadcast
+    and joined per column, without a shuffle; a larger one is joined on
+    (column, level) and a row's slots, at most one a column, are put together by
+    ``id_col``, which must be unique.
+    """
+    row = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("column") + F.octet_length("level") + 24).alias("bytes")).first()
+    size = F.lit(row["n"]).cast("long").alias("size")
+    names = [quoted(c) for c in df.columns]
+    if (row["bytes"] or 0) <= broadcast_bytes:
+        got = df
+        for i, c in enumerate(cols):
+            one = index.where(F.col("column") == c).select(F.col("level").alias("__level"), F.col("slot").alias(f"__s{i}"))
+            got = got.join(F.broadcast(one), quoted(c).cast("string") == F.col("__level"), "left").drop("__level")
+        found = F.array_compact(F.array(*[F.col(f"__s{i}") for i in range(len(cols))]))
+        return got.select(*names, F.struct(size, found.alias("indices")).alias(out))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("level")) for c in cols])
+    slots = df.select(quoted(id_col).alias("__id"), F.explode(cells).alias("c")).select("__id", "c.column", "c.level") \
+        .join(index, ["column", "level"]).groupBy("__id").agg(F.sort_array(F.collect_list("slot")).alias("__slots"))
+    none = F.array().cast("array<bigint>")
+    return df.join(slots, quoted(id_col) == F.col("__id"), "left") \
+        .select(*names, F.struct(size, F.coalesce("__slots", none).alias("indices")).alias(out))
+
+
 def fit_levels(train: DataFrame, cols: Sequence[str]) -> dict[str, list]:
     """Sorted distinct non-NULL train levels per column, for the wide form: one column a level.
 
     A wide frame's schema is built on the driver, so its levels are too; for
-    columns of many levels use :func:`level_table` and :func:`one_hot_long`.
+    columns of many levels use :func:`level_index` and :func:`one_hot_sparse`.
     """
     return {c: sorted(r[0] for r in train.select(quoted(c)).where(quoted(c).isNotNull()).distinct().collect()) for c in cols}
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import encode as en
 from ..operators import hierarchy as hy
 from ..operators import merge as mg
 from ..operators import models as md
@@ -102,7 +103,31 @@ def q_v7_curve_axis(spark, sf):
     return got.select(F.round("y_low", R6).alias("y_low"), F.round("y_high", R6).alias("y_high"))
 
 
+def q_n1_sparse_levels(spark, sf):
+    """One sparse vector of three columns, one of them with a level a line: rows per level and slot."""
+    lines = Tables(spark, sf).lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
+        "l_returnflag", F.when(F.col("l_quantity") > 5, F.col("l_partkey").cast("string")).alias("part"))
+    cols = ["l_returnflag", "line", "part"]
+    index = materialize(en.level_index(lines, cols, drop_first=True))
+    vectors = en.one_hot_sparse(lines, "id", cols, index, broadcast_bytes=1 << 16)
+    return vectors.select(F.explode("onehot.indices").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")) \
+        .join(index, "slot").select("column", "level", "slot", "n")
+
+
+def q_s12_keyed_overwrite(spark, sf):
+    """A metrics table by order status: written from the train rows, then one status overwritten from the test rows."""
+    r = frames.order_risk_split(Tables(spark, sf))
+    rows = materialize(r.groupBy("split", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("n_lines").alias("lines")))
+    path = scratch_path(spark, f"metrics-{uuid.uuid4().hex}")
+    sinks.overwrite_keys(rows.where("split = 'train'"), path, ["o_orderstatus"])
+    sinks.overwrite_keys(rows.where("split = 'test' AND o_orderstatus = 'F'"), path, ["o_orderstatus"])
+    return sinks.read_table(spark, path).select("o_orderstatus", "split", "n", F.col("lines").cast("long").alias("lines"))
+
+
 QUERIES = {
+    "n1_sparse_levels": q_n1_sparse_levels,
+    "s12_keyed_overwrite": q_s12_keyed_overwrite,
     "s7_raw_export": q_s7_raw_export,
     "f9_unified_export": q_f9_unified_export,
     "f11_feature_subset": q_f11_feature_subset,
@@ -122,6 +147,16 @@ def _unified_sql():
 
 
 ORACLES = {
+    "n1_sparse_levels": """WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS line, l_returnflag,
+            CASE WHEN l_quantity > 5 THEN l_partkey::VARCHAR END AS part FROM lineitem),
+        l AS (SELECT 0 AS p, 'l_returnflag' AS "column", l_returnflag::VARCHAR AS level FROM c UNION ALL SELECT 1, 'line', line FROM c
+              UNION ALL SELECT 2, 'part', part FROM c),
+        n AS (SELECT p, "column", level, count(*) AS n FROM l WHERE level IS NOT NULL GROUP BY ALL),
+        d AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY level) AS r FROM n)
+        SELECT "column", level, row_number() OVER (ORDER BY p, level) - 1 AS slot, n FROM d WHERE r > 1""",
+    "s12_keyed_overwrite": f"""WITH r AS ({frames.SQL_ORDER_RISK_SPLIT})
+        SELECT o_orderstatus, split, count(*) AS n, cast(sum(n_lines) AS bigint) AS lines FROM r
+        WHERE (split = 'test') = (o_orderstatus = 'F') GROUP BY ALL""",
     "s7_raw_export": f"""WITH r AS ({frames.SQL_ORDER_RISK_SPLIT})
         SELECT CASE WHEN split = 'train' THEN 'Train' ELSE 'Test' END AS Set_Type, o_orderstatus, count(*) AS n,
                cast(sum(y) AS bigint) AS y_sum, cast(sum(o_orderkey) AS bigint) AS key_sum FROM r GROUP BY 1, 2""",

@@ -53,3 +53,42 @@ def test_unified_export_of_a_category_without_specialists(spark, tmp_path):
     got = hy.unified_export(train, test, cats, predictions, str(tmp_path / "out")).collect()
     assert sorted((r["id"], r["Set_Type"], r["pred_p"], r["pred_q"]) for r in got) == [
         (1, "Train", None, None), (2, "Train", None, None), (11, "Test", 0, 0), (12, "Test", 0, 0)]
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_sparse_one_hot(spark, limit):
+    from concordia.operators import encode as en
+
+    rows = [(1, "b", 3.0), (2, "a", None), (3, None, 1.0), (4, "c", 3.0), (5, None, None), (6, "zz", 9.0)]
+    df = spark.createDataFrame(rows, "id long, `k.1` string, v double").withColumn("level", F.lit("x"))
+    index = en.level_index(df.where("id < 6"), ["k.1", "v"])
+    assert sorted(map(tuple, index.collect()), key=lambda r: r[2]) == [
+        ("k.1", "a", 0), ("k.1", "b", 1), ("k.1", "c", 2), ("v", "1.0", 3), ("v", "3.0", 4)]
+    got = en.one_hot_sparse(df, "id", ["k.1", "v"], index, broadcast_bytes=limit)
+    assert got.columns == [*df.columns, "onehot"]
+    assert {r["id"]: (r["onehot"]["size"], r["onehot"]["indices"]) for r in got.collect()} == {
+        1: (5, [1, 4]), 2: (5, [0]), 3: (5, [3]), 4: (5, [2, 4]), 5: (5, []), 6: (5, [])}
+
+
+def test_a_failed_rerun_leaves_the_old_table(spark, tmp_path):
+    from concordia.sources import sinks
+
+    path = str(tmp_path / "metrics")
+    with pytest.raises(ValueError, match="no version"):
+        sinks.read_table(spark, path)
+    first = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.6), (None, 1, 0.7), ("b", 1, 0.8)], "k string, t int, v double")
+    sinks.overwrite_keys(first, path, ["k"])
+    sinks.overwrite_keys(spark.createDataFrame([("a", 9, 0.1), (None, 2, 0.2), ("c", 1, 0.3)], "k string, t int, v double"), path, ["k"])
+    want = [("a", 9, 0.1), ("b", 1, 0.8), ("c", 1, 0.3), (None, 2, 0.2)]
+    held = sinks.read_table(spark, path)
+    assert sorted(map(tuple, held.collect()), key=str) == sorted(want, key=str)
+    broken = spark.createDataFrame([("b", 1, 1.0)], "k string, t int, v double") \
+        .withColumn("v", F.when(F.col("t") == 1, F.raise_error(F.lit("lost")).cast("double")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.overwrite_keys(broken, path, ["k"])
+    assert sinks.current_version(spark, path)[0] == 2
+    assert sorted(map(tuple, sinks.read_table(spark, path).collect()), key=str) == sorted(want, key=str)
+    # a reader that began before the next commit keeps its version
+    sinks.commit_table(first, path)
+    assert sorted(map(tuple, held.collect()), key=str) == sorted(want, key=str)
+    assert sinks.read_table(spark, path).count() == 4 and sinks.current_version(spark, path)[0] == 3
