@@ -105,12 +105,12 @@ def q_v7_curve_axis(spark, sf):
 
 def q_n1_sparse_levels(spark, sf):
     """One sparse vector of three columns, one of them with a level a line: rows per level and slot."""
-    lines = Tables(spark, sf).lineitem.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"),
-        "l_returnflag", F.when(F.col("l_quantity") > 5, F.col("l_partkey").cast("string")).alias("part"))
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    lines = materialize(Tables(spark, sf).lineitem.groupBy(line.alias("line")).agg(
+        F.min("l_returnflag").alias("l_returnflag"), F.min(F.when(F.col("l_quantity") > 5, F.col("l_partkey"))).alias("part")))
     cols = ["l_returnflag", "line", "part"]
     index = materialize(en.level_index(lines, cols, drop_first=True))
-    vectors = en.one_hot_sparse(lines, "id", cols, index, broadcast_bytes=1 << 16)
+    vectors = en.one_hot_sparse(lines, "line", cols, index, broadcast_bytes=1 << 16)
     return vectors.select(F.explode("onehot.indices").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")) \
         .join(index, "slot").select("column", "level", "slot", "n")
 
@@ -147,8 +147,8 @@ def _unified_sql():
 
 
 ORACLES = {
-    "n1_sparse_levels": """WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS line, l_returnflag,
-            CASE WHEN l_quantity > 5 THEN l_partkey::VARCHAR END AS part FROM lineitem),
+    "n1_sparse_levels": """WITH c AS (SELECT l_orderkey || '-' || l_linenumber AS line, min(l_returnflag) AS l_returnflag,
+            min(CASE WHEN l_quantity > 5 THEN l_partkey END)::VARCHAR AS part FROM lineitem GROUP BY 1),
         l AS (SELECT 0 AS p, 'l_returnflag' AS "column", l_returnflag::VARCHAR AS level FROM c UNION ALL SELECT 1, 'line', line FROM c
               UNION ALL SELECT 2, 'part', part FROM c),
         n AS (SELECT p, "column", level, count(*) AS n FROM l WHERE level IS NOT NULL GROUP BY ALL),
