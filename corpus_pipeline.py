@@ -3,6 +3,10 @@
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``. ``run`` writes each
 result as Parquet into the shared checkpoint folder and rereads it as the next
 stage's ``docs``, so a lost executor never repeats more than one stage.
+
+Stages judge rows: ids may be null or repeat, and rows that share an id but
+differ are kept or dropped each on its own (equal rows count as one in
+near-dedup).
 """
 
 from __future__ import annotations
