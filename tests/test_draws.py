@@ -78,6 +78,23 @@ def test_several_targets_equal_one_by_one(spark, data):
              values(ex.cumulative_ablation(model, train, test, NAMES, one, 15), "cum_ablation_value"))
 
 
+def test_surrogates_of_several_targets_equal_one_by_one(spark, data):
+    from concordia.operators import lime as lm
+    from concordia.operators import merge as mg
+
+    train, test = data
+    both = {"m": MODEL, "o": OTHER}
+    fitted = lm.fit(train, P)
+    together = lm.lime_weights_targets(both, train, test, NAMES, 200, fitted=fitted)
+    for t, model in both.items():
+        same(values(together.where(F.col("target_context") == t), "lime_value"),
+             values(lm.lime_weights(model, train, test, NAMES, 200, fitted=fitted), "lime_value"))
+    merged = mg.attributions_targets(both, {t: ex.linear_shap(m, train, test, NAMES) for t, m in both.items()},
+                                     train, test, NAMES, 15, 200)
+    assert merged.count() == 2 * 70 * P and merged.where(
+        "shap_value IS NULL OR lime_value IS NULL OR ablation_value IS NULL OR cum_ablation_value IS NULL").count() == 0
+
+
 def test_no_rows(spark, data):
     train, test = data
     for size in (0, 1 << 20):
