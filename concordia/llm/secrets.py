@@ -1,12 +1,14 @@
 """Operator 2 [native]: secret scan with a random forest against false positives.
 
-Candidates are runs of 16 or more key characters anywhere in a text, and values of
-any length and punctuation (up to white space) that follow an assignment or a quote
-next to a name holding one of FOR_WORDS. A forest judges each from its length,
-character classes and transitions, dictionary coverage, the path (of the document,
-and around the candidate) and the neighbouring words. It is trained from labelled findings by Spark ML and
-evaluated as a column expression within the row: no text is shuffled, exploded or
-joined, and only texts that hold a candidate are taken apart.
+Candidates are runs of 16 or more key characters anywhere in a text, values of
+any length and punctuation that follow an assignment or a quote next to a name
+holding one of FOR_WORDS (up to white space; within quotes up to the closing quote
+of that line, so pass phrases too), and the password of ``scheme://user:password@host``.
+A forest judges each from its length, character classes and transitions, dictionary
+coverage, the path (of the document, and around the candidate) and the neighbouring
+words (BEFORE and AFTER characters are looked at). It is trained from labelled
+findings by Spark ML and evaluated as a column expression within the row: no text is
+shuffled, exploded or joined, and only texts that hold a candidate are taken apart.
 
 Defined results: null and empty texts have no candidates and stay as they are; a
 candidate that occurs several times is judged at each place and, where any place
@@ -38,56 +40,86 @@ DICTIONARY = ("access", "account", "article", "build", "change", "client", "code
               "token", "update", "user", "value", "version", "with", "word", "your", "ation", "ing", "tion", "ment", "ber")
 #: Names of passwords, and values that stand for one.
 PASSWORD_WORDS = ("passwd", "password", "pwd")
-STAND_INS = (r"(?i)^([<\[{%*].*|[$][({].*|(.)\2*|null|none|nil|true|false|undefined|empty|required|optional|string|text|"
+STAND_INS = (r"(?i)^([<\[{%*].*|\$[a-z_]+|pass|pwd|[$][({].*|(.)\2*|null|none|nil|true|false|undefined|empty|required|optional|string|text|"
              r"password|passwd|secret|token|hidden|redacted|changeme|process\.env.*|os\.environ.*|self\..*|this\..*|.*[({].*)$")
+#: Words of sentences: a quoted sentence holds some, a pass phrase seldom does.
+_PROSE = (r"(?i)(?<![a-z])(a|an|and|are|at|be|can|der|die|das|el|en|for|from|have|if|in|is|it|la|le|les|must|not|of|on|or|please|"
+          r"that|the|this|to|und|was|will|with|you|your)(?![a-z])|[.?!]$")
 PATH_WORDS = r"(?i)(^|[/_.\-])(test|tests|doc|docs|example|examples|fixture|fixtures|sample|samples|mock)s?([/_.\-]|$)"
-#: A name with one of FOR_WORDS (also within camel case), and the value assigned to it or quoted after it.
-_NAME = "(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?:" + "|".join(
-    f"[{w[0].upper()}{w[0]}]{w[1:]}|{w.upper()}" for w in FOR_WORDS) + r")(?![a-z])[A-Za-z0-9_\-]{0,40}+[\\\"'`\])]{0,3}+"
+#: Context of a finding, in characters: how much before and after it is looked at.
+BEFORE, AFTER = 200, 100
+#: A whole identifier that holds one of FOR_WORDS (also within camel case). It is met at its first character only, so
+#: a word of any length is read a fixed number of times.
+_ID = r"[A-Za-z0-9_\-]"
+_NAME = rf"(?<!{_ID})(?={_ID}*?(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?:" + "|".join(
+    f"[{w[0].upper()}{w[0]}]{w[1:]}|{w.upper()}" for w in FOR_WORDS) + rf")(?![a-z])){_ID}++[\\\"'`\])]{{0,3}}+"
+_EQUALS = r"\s*+(?>:=|=>|={1,3}|:)"
+
+
+def _phrase(q: str) -> str:
+    """Several words between two quotes of one line, no further name and value among them."""
+    return rf"(?<={q})(?=\S)(?![^{q}\r\n]*?{_NAME}{_EQUALS})[^{q}\r\n]*[^{q}\r\n\s\\](?=\\?{q})"
+
+
+#: The value assigned to the name or quoted after it: to the closing quote, else up to white space.
 _VALUE = (r"((?<=\")[^\s\"]*[^\s\"\\](?=\\?\")|(?<=')[^\s']*[^\s'\\](?=\\?')|(?<=`)[^\s`]+(?=`)"
+          f"|{_phrase(chr(34))}|{_phrase(chr(39))}|{_phrase('`')}"
           r"|[^\s\"'`][^\s\"`]*[^\s\"'`,;.)\]}>]|[^\s\"'`,;.)\]}>])")
-ASSIGNED = _NAME + r"(?:\s*+(?>:=|=>|={1,3}|:)\s*+(?:\\?[\"'`])?+|\s++\\?[\"'`])" + _VALUE
+ASSIGNED = _NAME + rf"(?:{_EQUALS}\s*+(?:\\?[\"'`])?+|\s++\\?[\"'`])(?!{_NAME}{_EQUALS}\s)" + _VALUE
+#: The password in scheme://user:password@host.
+USERINFO = r"://[^\s/:@\"'`<>]*+:([^\s/\"'`<>]*[^\s/\"'`<>@])(?=@)"
 FINDING = "struct<token:string,before:string,left:string,after:string,path:string>"
 
 
-def candidates(text: Column, path: Column) -> Column:
-    """Array of findings: the run or value, what its word holds before it, the two words to its left, what follows it."""
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    nothing = F.array(F.lit(None).cast("string"))
-    # each word beside its neighbours: the text is split a fixed number of times, not once a word
-    rows = F.arrays_zip(words.alias("w"), F.concat(nothing, words).alias("l1"), F.concat(nothing, nothing, words).alias("l2"),
-                        F.slice(words, F.lit(2), F.size(words)).alias("r1"))
-    here = ASSIGNED + r"(?=\S*$)"  # only values within the word itself, not those of the words to its left
+def _places(text: Column, pattern: str, group: int, path: Column) -> Column:
+    """A finding for every match, left to right; the match must end with its group.
 
-    def whole(s):
-        return F.concat_ws(" ", s["l2"], s["l1"], s["w"])
+    The text is cut at the matches; a finding's context comes from the pieces and matches beside it, so the work
+    grows with the text and the number of findings, not with their product.
+    """
+    empty = F.array(F.lit(""))
 
-    def runs(s):
-        return F.regexp_extract_all(s["w"], F.lit(RUN), F.lit(0))
+    def bound(value, body):  # evaluated once a text, however often the body names it
+        return F.transform(F.array(value), body)[0]
 
-    def of_runs(s):
-        return F.transform(runs(s), lambda t: F.struct(
-            t.alias("token"), F.split_part(s["w"], t, F.lit(1)).alias("before"), F.concat_ws(" ", s["l2"], s["l1"]).alias("left"),
-            F.concat_ws(" ", F.split_part(s["w"], t, F.lit(-1)), s["r1"]).alias("after"), path.alias("path")))
+    def beside(s):
+        # piece i with the match ahead of it, and with the match behind it
+        return F.struct(
+            s["m"], s["t"],
+            F.zip_with(F.concat(empty, s["m"]), s["p"], lambda m, p: F.right(F.concat(m, F.right(p, F.lit(BEFORE))), F.lit(BEFORE))).alias("tails"),
+            F.zip_with(s["p"], F.concat(s["m"], empty), lambda p, m: F.left(F.concat(F.left(p, F.lit(AFTER)), m), F.lit(AFTER))).alias("heads"))
 
-    def of_values(s):
-        found = F.arrays_zip(F.regexp_extract_all(whole(s), F.lit(here), F.lit(0)).alias("m"),
-                             F.regexp_extract_all(whole(s), F.lit(here), F.lit(1)).alias("t"))
+    def rows(s):
+        return F.arrays_zip(s["m"].alias("m"), s["t"].alias("t"), s["tails"].alias("b1"), F.concat(empty, s["tails"]).alias("b2"),
+                            F.concat(empty, empty, s["tails"]).alias("b3"), F.slice(s["heads"], F.lit(2), F.size(s["heads"])).alias("a1"),
+                            F.slice(s["heads"], F.lit(3), F.size(s["heads"])).alias("a2"))
 
-        def of_value(p):
-            upto = F.length(F.split_part(whole(s), p["m"], F.lit(1))) + F.length(p["m"])
-            ahead = F.substr(whole(s), F.lit(1), upto - F.length(p["t"]))
-            return F.struct(
-                p["t"].alias("token"), F.substring_index(ahead, " ", -1).alias("before"), F.concat_ws(" ", s["l2"], s["l1"]).alias("left"),
-                F.concat_ws(" ", F.substr(whole(s), upto + 1), s["r1"]).alias("after"), path.alias("path"))
+    def spaced(c):
+        return F.regexp_replace(c, r"[\x20\x09-\x0D]+", " ")
 
-        return F.transform(F.filter(found, lambda p: ~F.array_contains(runs(s), p["t"])), of_value)
+    def around(s):
+        name = F.left(s["m"], F.length(s["m"]) - F.length(s["t"]))
+        ahead = spaced(F.concat(F.right(F.concat(s["b3"], s["b2"], s["b1"]), F.lit(BEFORE)), F.right(name, F.lit(BEFORE))))
+        return F.struct(s["t"].alias("t"), ahead.alias("ahead"), F.substring_index(ahead, " ", -1).alias("before"),
+                        spaced(F.left(F.concat_ws("", s["a1"], s["a2"]), F.lit(AFTER))).alias("next"))
 
-    none = F.array().cast(f"array<{FINDING}>")
-    both = F.transform(F.filter(rows, lambda s: s["w"].rlike(RUN) | whole(s).rlike(here) & s["w"].isNotNull()),
-                       lambda s: F.concat(of_runs(s), of_values(s)))
-    only_runs = F.transform(F.filter(rows, lambda s: s["w"].rlike(RUN)), of_runs)
-    return F.when(text.rlike(ASSIGNED), F.flatten(both)).when(text.rlike(RUN), F.flatten(only_runs)).otherwise(none)
+    def finding(s):
+        left = F.left(s["ahead"], F.length(s["ahead"]) - F.length(s["before"]) - 1)
+        return F.struct(s["t"].alias("token"), s["before"], F.substring_index(left, " ", -2).alias("left"),
+                        F.substring_index(s["next"], " ", 2).alias("after"), path.alias("path"))
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+                   F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("t"), F.split(text, pattern).alias("p"))
+    # the arrays of pieces are longer than that of the matches: the last rows have none
+    found = F.transform(F.transform(F.filter(bound(bound(cut, beside), rows), lambda s: s["m"].isNotNull()), around), finding)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{FINDING}>"))
+
+
+def candidates(text: Column, path: Column) -> Column:
+    """Array of findings: the run or value, what its word holds before it, the two words to its left, what follows it."""
+    values = F.filter(_places(text, ASSIGNED, 1, path), lambda f: ~f["token"].rlike(f"^{RUN}$"))
+    logins = F.filter(_places(text, USERINFO, 1, path), lambda f: ~f["token"].rlike(f"^{RUN}$"))
+    return F.concat(_places(text, RUN, 0, path), values, logins)
 
 
 def _any(words) -> str:
@@ -129,7 +161,11 @@ def features(f: Column) -> Column:
         count("[0-9A-Z]"),
         flag(near.rlike(_any(PASSWORD_WORDS))),
         flag(left.rlike(r"=\s*[\"'`]?$|[\"'`]$")),
-        flag(token.rlike(STAND_INS)))
+        flag(token.rlike(STAND_INS)),
+        count(r"\s+"),
+        count(_PROSE) / (1 + count(r"\s+")),
+        flag(f["before"].rlike(r"://[^\s/:@]*:$") & f["after"].startswith("@")),
+        flag(f["before"].rlike(r"(?i)\bdata:[a-z/+.\-]*;|base64,$")))
 
 
 def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
@@ -155,7 +191,33 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
                 "'anticonstitutionnellement', 'counterproductive', 'characterization', 'Donaudampfschifffahrt', 'multidimensional', 'environmentally-friendly', "
                 "'state-of-the-art', 'and/or/otherwise/maybe', 'user_account_settings', 'AbstractProxyFactoryBean', 'getElementsByTagName', "
                 "'articles/international/culture', 'LinkedHashMapEntry', 'wp-content/uploads/images'), 1 + cast(id % 19 AS int))")
+    diced = "array('correct', 'horse', 'battery', 'staple', 'copper', 'lantern', 'violet', 'anchor', 'tundra', 'mosaic', 'pepper', 'glacier', 'walnut')"
+    phrase = "concat_ws(' ', {})".format(", ".join(f"element_at({diced}, 1 + cast((id * {m} + {m}) % 13 AS int))" for m in (1, 5, 7)))
+    phrase = f"concat_ws(' ', {phrase}, if(id % 2 = 0, element_at({diced}, 1 + cast(id % 13 AS int)), NULL), if(id % 5 = 0, id, NULL))"
+    sentence = ("element_at(array('The value of the setting', 'Please enter your password', 'must be at least eight characters', 'is not valid.', "
+                "'Forgot your password?', 'Invalid user name or password', 'a list of names', 'Sign in with a token', 'new value for this field', "
+                "'Reset password', 'at the end of the day', 'der Wert ist nicht', 'la clave no es', 'Confirm new password'), 1 + cast(id % 14 AS int))")
+    zone = ("element_at(array('America/Argentina/Buenos_Aires', 'America/Los_Angeles', 'America/Indiana/Indianapolis', 'Atlantic/Reykjavik', "
+            "'Australia/Melbourne', 'Asia/Ho_Chi_Minh/zone', 'Pacific/Port_Moresby', 'application/octet-stream', 'usr/local/share/zoneinfo'), 1 + cast(id % 9 AS int))")
+    login = ("concat(element_at(array('postgres', 'mysql', 'redis', 'https', 'amqp', 'mongodb+srv', 'ftp'), 1 + cast(id % 7 AS int)), '://', "
+             "element_at(array('user', 'admin', '', 'app', 'root'), 1 + cast(id % 5 AS int)), ':')")
+    host = "concat('@', element_at(array('db', 'localhost', 'db.internal', '10.0.0.5', 'mail.example.org'), 1 + cast(id % 5 AS int)), ':5432/app')"
     kinds = [
+        (1, phrase, quoted, f"concat({passname}, ' =')", quoted),
+        (1, phrase, f"concat({passname}, '=', {quoted})", plain, quoted),
+        (1, phrase, f"concat('secret', {assigned}, {quoted})", plain, quoted),
+        (0, sentence, quoted, f"concat({loose}, ' =')", quoted),
+        (0, sentence, f"concat({passname}, {assigned}, {quoted})", plain, quoted),
+        (0, sentence, f"concat({loose}, {assigned}, {quoted})", plain, quoted),
+        (0, phrase, f"concat(element_at(array('key', 'token', 'auth'), 1 + cast(id % 3 AS int)), {assigned}, {quoted})", plain, quoted),
+        (0, zone, "element_at(array('', 'TZ=', '\"', 'zone:'), 1 + cast(id % 4 AS int))", plain, "''"),
+        (0, f"substr(concat({letters}, {mixed.format("'bH3iK5lN8oQsS0uU'")}), 1, cast(40 + id AS int))", "'src=\"data:image/png;base64,'", plain, "'\"'"),
+        (0, f"concat('iVBORw0KGgo', substr({letters}, 1, cast(20 + id % 40 AS int)))", "'url(data:image/gif;base64,'", plain, "')'"),
+        (1, f"concat(substr({letters}, 1, cast(4 + id % 8 AS int)), {mark}, id % 100)", login, plain, host),
+        (1, f"substr({hexed}, 1, cast(6 + id % 26 AS int))", login, plain, host),
+        (1, f"concat({common}, id % 1000)", login, plain, host),
+        (0, stand_in, login, plain, host),
+        (0, "element_at(array('password', 'pass', '****', 'PASSWORD', '<password>', '$PASS', '{password}', 'xxxx', 'pwd'), 1 + cast(id % 9 AS int))", login, plain, host),
         (1, f"concat(substr({letters}, 1, cast(3 + id % 6 AS int)), {mark}, substr({hexed}, 1, cast(2 + id % 5 AS int)))", quoted, f"concat({name}, ' =')", quoted),
         (1, f"concat(substr({letters}, 1, cast(3 + id % 6 AS int)), {mark}, substr({hexed}, 1, cast(2 + id % 5 AS int)))",
          f"concat({passname}, {assigned}, {quoted})", plain, quoted),
