@@ -99,3 +99,30 @@ def test_no_rows(spark, data):
     train, test = data
     for size in (0, 1 << 20):
         assert ex.marginal_ablation(MODEL, train, test.where("id < 0"), NAMES, 5, broadcast_bytes=size).collect() == []
+
+
+def test_large_background_moves_no_visits(spark, data, monkeypatch):
+    """Rows stay where they lie, whatever the number of blocks: neither visits nor their sums are exchanged."""
+    train, test = data
+    monkeypatch.setattr(draws, "BLOCK_CELLS", 30)
+    plan = plan_of(ex.marginal_ablation(MODEL, train, test, NAMES, 20, broadcast_bytes=0))
+    assert not [w for w in ("Exchange", "Aggregate", "Group", "Join") if w in plan]
+
+
+def test_draw_sums_equal_exploded_draws(spark, data, monkeypatch):
+    """Batches and blocks smaller than the table; nulls in the background are not summed; NaN is a value."""
+    train, test = data
+    monkeypatch.setattr(draws, "VISITORS", 9)
+    monkeypatch.setattr(draws, "BLOCK_CELLS", 60)
+    bg, n = ex.number_background(train)
+    bg = bg.withColumn("x", F.expr("transform(x, (v, j) -> CASE WHEN j = 1 AND bidx % 3 = 0 THEN null "
+                                   "WHEN j = 2 AND bidx = 5 THEN double('NaN') ELSE v END)")).checkpoint()
+    got = {r["id"]: r for r in draws.draw_sums(bg, n, test, P, 20, "s").collect()}
+    long = ex.marginal_draws(test, P, 20, n, "s").join(bg.select("bidx", F.posexplode("x").alias("j", "v")), ["j", "bidx"])
+    want = long.groupBy("id", "j").agg(F.sum("v").alias("v"), F.sum(F.col("v").isNull().cast("int")).alias("m"),
+                                       F.sum("bidx").alias("b")).collect()
+    assert len(want) == len(got) * P == 70 * P
+    for r in want:
+        row = got[r["id"]]
+        assert row["drawn"][r["j"]] == pytest.approx(r["v"], abs=1e-9, nan_ok=True)
+        assert (row["missing"][r["j"]], row["places"][r["j"]]) == (r["m"], r["b"])
