@@ -194,7 +194,8 @@ def proofs(ranked: DataFrame, uppers: DataFrame, fanout: int = FANOUT) -> DataFr
 
 
 def checked(ranked: DataFrame, uppers: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """``(doc_id, key, leaf, proof_sha256, folded_root)``; ``seen``, if not null, is the digest found on checking."""
+    """``(doc_id, key, leaf, proof_sha256, folded_root)``; ``seen``, if not null, is the digest found on checking, else
+    the leaf's own: every row is folded along its path."""
     def run(table, upper):
         rows, leaves, marks, folded = [], [], [], []
         root = upper.column("root")[0].as_py()
@@ -203,7 +204,7 @@ def checked(ranked: DataFrame, uppers: DataFrame, fanout: int = FANOUT) -> DataF
             rows.append(row)
             leaves.append(digest)
             marks.append(sha([d for _, others in steps for d in others]))
-            folded.append(root if seen is None else fold(seen.hex(), steps))
+            folded.append(fold(digest if seen is None else seen.hex(), steps))
         at = pa.array(rows, pa.int64())
         return pa.table({"doc_id": table.column("doc_id").take(at), "key": table.column("key").take(at),
                          "leaf": pa.array(leaves, pa.string()), "proof_sha256": pa.array(marks, pa.string()),

@@ -116,3 +116,15 @@ def test_a_changed_text_fails_and_an_unchanged_one_holds(spark):
     for r in run(spark, rows, levels=1):
         changed = zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[0] % 4 != 0
         assert r[6] is not changed
+
+
+def test_every_leaf_is_folded(spark):
+    """A wrong root is noticed by rows whose text did not change, too: none takes the root for its folded digest."""
+    merkle.ship(spark)
+    leaves = spark.range(12).select(F.col("id").alias("doc_id"), F.lit("=a").alias("key"),
+                                    F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.lit(None).cast("binary").alias("seen"))
+    ranked = merkle.numbered(leaves, [F.col("doc_id").asc()], levels=1)
+    uppers = merkle.upper_paths(ranked, levels=1).withColumnRenamed("digest", "subroot").withColumn("root", F.lit("0" * 64))
+    got = merkle.checked(ranked, uppers).collect()
+    right, _ = tree([h(str(i)) for i in range(12)])
+    assert {r["folded_root"] for r in got} == {right} and {r["root"] for r in got} == {"0" * 64} and len(got) == 12
