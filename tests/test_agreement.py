@@ -116,3 +116,22 @@ def test_single_target_default(spark):
                                "Attribute string, Rulex double, SHAP double, LIME double, Ablation double")
     long = ag.unpivot_importance(df, dataset="x")
     assert {r["target"] for r in long.collect()} == {"Single_Target"}
+
+
+def test_dominance_across_blocks_explodes_no_point(spark, monkeypatch):
+    """Blocks and strips smaller than the groups, ties in both values; the counts equal all pairs and no point is multiplied."""
+    import numpy as np
+
+    from concordia.operators import agreement as ag
+
+    monkeypatch.setattr(ag, "BLOCK_BITS", 3)
+    monkeypatch.setattr(ag, "STRIP", 2)
+    rng, rows, want = np.random.default_rng(0), [], {}
+    for g, (n, k) in {"a": (300, 1000), "b": (300, 9), "c": (5, 3), "d": (1, 2), "e": (70, 1000)}.items():
+        x = rng.integers(0, k, n)
+        y = rng.integers(0, k, n) + (x if g == "e" else 0)
+        want[g] = int(((x[:, None] < x) & (y[:, None] < y)).sum())
+        rows += [(g, float(a), float(b)) for a, b in zip(x, y)]
+    got = ag._dominance_total(spark.createDataFrame(rows, "g string, x double, y double"), ["g"])
+    assert {r["g"]: r["dom"] for r in got.collect()} == want
+    assert "yr" in got._jdf.queryExecution().analyzed().toString() and "level" not in got._jdf.queryExecution().analyzed().toString()
