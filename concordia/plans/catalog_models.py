@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import hierarchy as hy
 from ..operators import models as md
 from ..operators.models import LinearLogit
+from ..session import materialize
 from . import catalog_explain as ce
 from . import frames
 
@@ -19,8 +20,9 @@ GATE_CHAIN_WEIGHT = 0.5
 def _labelled_frames(spark, sf):
     from ..sources.tables import Tables
     r = frames.order_risk_split(Tables(spark, sf))
-    base = r.select(F.col("o_orderkey").alias("id"), "split", md.features_array(ce.FEATURES).alias("x"),
-                    "has_R", "has_A", "has_N", "y")
+    # read by every pass of every model: written once, not joined and grouped again
+    base = materialize(r.select(F.col("o_orderkey").alias("id"), "split", md.features_array(ce.FEATURES).alias("x"),
+                                "has_R", "has_A", "has_N", "y"))
     return base.where(F.col("split") == "train"), base.where(F.col("split") == "test")
 
 
