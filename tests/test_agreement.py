@@ -132,6 +132,10 @@ def test_dominance_across_blocks_explodes_no_point(spark, monkeypatch):
         y = rng.integers(0, k, n) + (x if g == "e" else 0)
         want[g] = int(((x[:, None] < x) & (y[:, None] < y)).sum())
         rows += [(g, float(a), float(b)) for a, b in zip(x, y)]
+    x, y = [None if i % 7 == 0 else float(v) for i, v in enumerate(rng.integers(0, 9, 60))], rng.permutation(60)
+    rows += [("f", v, float(w)) for v, w in zip(x, y)]
+    top = np.array([np.inf if v is None else v for v in x])
+    want["f"] = int(((top[:, None] < top) & (y[:, None] < y)).sum())
     got = ag._dominance_total(spark.createDataFrame(rows, "g string, x double, y double"), ["g"])
     assert {r["g"]: r["dom"] for r in got.collect()} == want
     assert "yr" in got._jdf.queryExecution().analyzed().toString() and "level" not in got._jdf.queryExecution().analyzed().toString()
