@@ -126,3 +126,17 @@ def test_draw_sums_equal_exploded_draws(spark, data, monkeypatch):
         row = got[r["id"]]
         assert row["drawn"][r["j"]] == pytest.approx(r["v"], abs=1e-9, nan_ok=True)
         assert (row["missing"][r["j"]], row["places"][r["j"]]) == (r["m"], r["b"])
+
+
+def test_background_is_dealt_once_and_cut_where_it_lies(spark, data, monkeypatch):
+    """Numbers in id order without another exchange; blocks of any length, a background in no order too, give the same."""
+    train, test = data
+    bg, n = ex.number_background(train)
+    assert n == 230 and not [w for w in ("Exchange", "Window", "Join") if w in plan_of(bg)]
+    ids = train.groupBy("x").agg(F.min("id").alias("id"))
+    assert all(r["bidx"] == r["id"] for r in bg.join(ids, "x").collect())
+    small = ex.marginal_ablation(MODEL, train, test, NAMES, 20, background=(bg, n))
+    monkeypatch.setattr(draws, "BLOCK_CELLS", 30)
+    for given in (bg, bg.coalesce(1), bg.repartition(5, F.col("bidx") % 7), bg.orderBy(F.col("bidx").desc())):
+        large = ex.marginal_ablation(MODEL, train, test, NAMES, 20, broadcast_bytes=0, background=(given, n))
+        same(values(small, "ablation_value"), values(large, "ablation_value"))

@@ -92,3 +92,41 @@ def test_a_failed_rerun_leaves_the_old_table(spark, tmp_path):
     sinks.commit_table(first, path)
     assert sorted(map(tuple, held.collect()), key=str) == sorted(want, key=str)
     assert sinks.read_table(spark, path).count() == 4 and sinks.current_version(spark, path)[0] == 3
+
+
+def test_line_stats_shuffle_once(spark, tmp_path):
+    """Suppliers are counted in the one shuffle of the lines; repeated ones once, nulls not."""
+    from concordia.plans import frames
+    from concordia.sources.tables import Tables
+
+    rows = [(1, 7, 2.0, 1.5, 0.1, 0.02, "R"), (1, 7, 3.0, 2.5, 0.3, 0.04, "N"), (1, None, 1.0, 1.0, 0.0, 0.0, "N"),
+            (1, 8, 1.0, 1.0, 0.0, 0.0, "N"), (2, None, 4.0, 1.0, 0.0, 0.0, "A")]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = frames.line_stats(Tables(spark, str(tmp_path)))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert dict(got.dtypes)["n_supp"] == "bigint"
+    assert sorted(map(tuple, got.select("l_orderkey", "n_lines", "n_supp", "price_sum", "has_R", "has_A").collect())) == \
+        [(1, 4, 2, 6.0, 1, 0), (2, 1, 0, 1.0, 0, 1)]
+
+
+def test_curve_reads_the_merged_rows_once(spark):
+    """Steps and start come from one pass: means over the rows, nulls left out, none without values."""
+    from pyspark.sql import functions as F
+
+    rows = [("a", 0.1, 0.2, 0.5, 0.4), ("a", 0.3, 0.2, 0.7, None), ("b", 0.5, 0.1, 0.6, 0.9), ("b", 0.7, 0.3, 0.8, 0.2)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "feature string, ablation_value double, cum_ablation_value double, current_prediction double, original_prediction double"
+    got = mg.ablation_curve(spark.createDataFrame(rows, schema).mapInArrow(look, schema)).collect()
+    assert seen.value == len(rows)
+    start = next(r for r in got if r["x_step"] == 0)
+    assert start["feature"] == "Original" and start["y"] == pytest.approx(0.5)
+    assert [r["feature"] for r in sorted(got, key=lambda r: r["x_step"])] == ["Original", "a", "b"]
+    empty = spark.createDataFrame(rows, schema).withColumn("original_prediction", F.lit(None).cast("double"))
+    assert next(r["y"] for r in mg.ablation_curve(empty).collect() if r["x_step"] == 0) is None
