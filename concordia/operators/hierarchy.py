@@ -53,14 +53,15 @@ def append_gate_scores(train: DataFrame, test: DataFrame, categories: Sequence[C
 
 
 def fit_gates(train: DataFrame, categories: Sequence[Category], fit: Callable) -> tuple[dict, DataFrame]:
-    """Fit gate models in category order; each sees earlier gate scores."""
+    """Fit gate models in category order; each sees earlier gate scores. Returns the gates and the rows with all scores."""
     gates = {}
     cur = train
     for cat in categories:
         labelled = cur.withColumn("__gate", or_label(cat.labels))
         gates[cat.name] = fit(labelled, "__gate")
         col = f"Gatekeeper_{cat.name}_Score"
-        cur = gates[cat.name].predict(cur, "x", out=col).withColumn("x", F.concat("x", F.array(F.col(col))))
+        # read by every pass of the next gate's training, or of the specialists': scored once
+        cur = materialize(gates[cat.name].predict(cur, "x", out=col).withColumn("x", F.concat("x", F.array(F.col(col)))))
     return gates, cur
 
 

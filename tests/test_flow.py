@@ -130,3 +130,45 @@ def test_curve_reads_the_merged_rows_once(spark):
     assert [r["feature"] for r in sorted(got, key=lambda r: r["x_step"])] == ["Original", "a", "b"]
     empty = spark.createDataFrame(rows, schema).withColumn("original_prediction", F.lit(None).cast("double"))
     assert next(r["y"] for r in mg.ablation_curve(empty).collect() if r["x_step"] == 0) is None
+
+
+def _counted(spark, rows, schema):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(rows, schema).mapInArrow(look, schema), seen
+
+
+def test_gate_scores_are_worked_out_once(spark):
+    """Later gates and whoever reads the scored rows do not score, or read the train rows, again."""
+    from concordia.operators.models import LinearLogit
+
+    rows = [(i, [float(i)], i % 2, i % 3 == 0) for i in range(12)]
+    train, seen = _counted(spark, [(i, x, a, int(b)) for i, x, a, b in rows], "id long, x array<double>, a int, b int")
+
+    def fit(labelled, label):
+        for _ in range(3):
+            assert labelled.agg(F.sum(label)).first()[0] > 0
+        return LinearLogit(0.1, (0.5, 1.0)[:len(labelled.first()["x"])])
+
+    gates, scored = hy.fit_gates(train, [hy.Category("one", ["a"]), hy.Category("two", ["b"])], fit)
+    after_first = seen.value
+    got = [r for _ in range(2) for r in scored.collect()]
+    assert seen.value == after_first and len(got) == 2 * len(rows)
+    tr, _ = hy.append_gate_scores(train, train, [hy.Category("one", ["a"]), hy.Category("two", ["b"])], gates)
+    assert sorted(map(tuple, got[:12])) == sorted(map(tuple, tr.select(scored.columns).collect()))
+
+
+def test_class_weights_are_counted_once(spark):
+    from concordia.operators import models as md
+
+    train, seen = _counted(spark, [(i, int(i < 3)) for i in range(12)], "id long, y int")
+    weighted = md.balance_weights(train, "y")
+    assert seen.value == 12
+    for _ in range(2):
+        assert {(r["y"], r["weight"]) for r in weighted.collect()} == {(1, 3.0), (0, 1.0)}
+    assert seen.value == 36
