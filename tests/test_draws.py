@@ -140,3 +140,64 @@ def test_background_is_dealt_once_and_cut_where_it_lies(spark, data, monkeypatch
     for given in (bg, bg.coalesce(1), bg.repartition(5, F.col("bidx") % 7), bg.orderBy(F.col("bidx").desc())):
         large = ex.marginal_ablation(MODEL, train, test, NAMES, 20, broadcast_bytes=0, background=(given, n))
         same(values(small, "ablation_value"), values(large, "ablation_value"))
+
+
+def test_wide_tables_merge_as_long_ones(spark, data):
+    """Joined on the id and spread by feature afterwards: the rows of the long join, for repeated and null ids too."""
+    from concordia.operators import merge as mg
+
+    train, test = data
+    odd = test.where("id < 242").union(test.where("id IN (232, 233)").select(*[
+        F.transform("x", lambda v: v + 1.0).alias(c) if c == "x" else F.col(c) for c in test.columns])) \
+        .union(test.where("id = 235").withColumn("id", F.lit(None).cast(test.schema["id"].dataType)).select(test.columns))
+    odd = odd.union(odd.where("id = 237")).checkpoint()
+    bg = ex.number_background(train)
+
+    def merged(wide):
+        abl = ex.marginal_ablation(MODEL, train, odd, NAMES, 5, background=bg, wide=wide).checkpoint()
+        cum = ex.cumulative_ablation(MODEL, train, odd, NAMES, ex.long_form(abl, NAMES, ["ablation_value"]) if wide else abl, 5,
+                                     background=bg, wide=wide)
+        shap = ex.linear_shap(MODEL, train, odd, NAMES, wide=wide)
+        return [mg.merge_attributions(shap=shap, ablation=a, cumulative=c, target_context="y", wide=NAMES if wide else None)
+                for a, c in ((abl, cum), (abl, None), (None, None))]
+
+    for got, want in zip(merged(True), merged(False)):
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        rows = [sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f.collect()), key=str) for f in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) >= P * odd.count()
+
+
+def test_a_merge_deals_a_row_an_id(spark, data):
+    """Features are spread above the joins, so that what is shuffled is a row an id and not one a feature."""
+    from concordia.operators import merge as mg
+
+    train, test = data
+    abl = ex.marginal_ablation(MODEL, train, test, NAMES, 5, wide=True)
+    plan = mg.merge_attributions(shap=ex.linear_shap(MODEL, train, test, NAMES, wide=True), ablation=abl, wide=NAMES) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Join")
+
+
+def test_written_frames_leave_no_shuffle_behind(spark, data, tmp_path):
+    """Read back as they were, nulls and NaN too; from a table, without the shuffles that made it; the session's setting is kept."""
+    from concordia.session import CLEANUP, written
+
+    train, _ = data
+    rows = train.select("id", F.when(F.col("id") % 3 > 0, F.lit(float("nan"))).alias("v"), "x").repartition(4, "id")
+    before = spark.conf.get(CLEANUP, None)
+    got = written(rows)
+    assert spark.conf.get(CLEANUP, None) == before and got.dtypes == rows.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+    assert "FileScan parquet" in plan_of(got) and "Exchange" not in plan_of(got)
+
+
+def test_explainers_share_the_blocks_of_a_background(spark, data, monkeypatch):
+    """Two passes over one background cut and write its blocks once."""
+    train, test = data
+    monkeypatch.setattr(draws, "BLOCK_CELLS", 30)
+    bg, n = ex.number_background(train)
+    abl = ex.marginal_ablation(MODEL, train, test, NAMES, 5, broadcast_bytes=0, background=(bg, n))
+    (first,) = draws._BLOCKS[bg].values()
+    ex.cumulative_ablation(MODEL, train, test, NAMES, abl, 5, broadcast_bytes=0, background=(bg, n))
+    (second,) = draws._BLOCKS[bg].values()
+    assert first[0] is second[0]
