@@ -110,6 +110,33 @@ def test_line_stats_shuffle_once(spark, tmp_path):
         [(1, 4, 2, 6.0, 1, 0), (2, 1, 0, 1.0, 0, 1)]
 
 
+def test_large_order_frames_are_written_in_slices(spark, tmp_path, monkeypatch):
+    """Slice by slice the rows of the whole, null and repeated keys and orders without lines too; a slice reads its own only."""
+    from pyspark.sql import functions as F
+
+    from concordia.plans import frames
+    from concordia.sources.tables import Tables
+
+    line = [(k, s, float(s or 0), 1.25 * (s or 3), 0.1, 0.02, "RAN"[(s or 0) % 3]) for k in [*range(40), None] for s in (k, 7, 7, None)]
+    order = [(k, (k or 0) % 5, "F" if (k or 0) % 2 else "O", 10.0 + (k or 0), "1-URGENT") for k in [*range(50), 3, None]]
+    spark.createDataFrame(line, "l_orderkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, "
+                          "l_tax double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(order, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string") \
+        .write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(0, "A"), (1, "B"), (1, "C"), (2, None)], "c_custkey long, c_mktsegment string") \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    t = Tables(spark, str(tmp_path))
+    whole = frames.order_risk_split(t)
+    want = sorted(map(str, whole.collect()))
+    parts = [frames.line_stats(t, k).count() for k in range(frames.SLICES)]
+    assert sum(parts) == 41 and max(parts) < 41
+    for least in (1, 10_000):
+        monkeypatch.setattr(frames, "SLICED_LINES", least)
+        got = frames.order_risk_written(t, *whole.columns)
+        assert got.dtypes == whole.dtypes and sorted(map(str, got.collect())) == want
+        assert "FileScan parquet" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_curve_reads_the_merged_rows_once(spark):
     """Steps and start come from one pass: means over the rows, nulls left out, none without values."""
     from pyspark.sql import functions as F
