@@ -167,6 +167,41 @@ def test_wide_tables_merge_as_long_ones(spark, data):
         assert rows[0] == rows[1] and len(rows[0]) >= P * odd.count()
 
 
+def _odd_rows(test):
+    """Rows with repeated and null ids among others."""
+    odd = test.where("id < 242").union(test.where("id IN (232, 233)").select(*[
+        F.transform("x", lambda v: v + 1.0).alias(c) if c == "x" else F.col(c) for c in test.columns]))
+    return odd.union(test.where("id IN (235, 236)").withColumn("id", F.lit(None).cast(test.schema["id"].dataType)).select(test.columns))
+
+
+@pytest.mark.parametrize("rows, limit", [("odd", 1 << 20), ("odd", 0), ("once", 0)])
+def test_a_merge_along_the_rows_gives_the_joined_rows(spark, data, rows, limit):
+    """Nothing is joined for ids that come once; repeated and null ids are merged as the joins do."""
+    from concordia.operators import merge as mg
+
+    train, test = data
+    test = _odd_rows(test).checkpoint() if rows == "odd" else test.where("id < 260")
+    bg = ex.number_background(train)
+    abl = ex.marginal_ablation(MODEL, train, test, NAMES, 5, broadcast_bytes=limit, background=bg, wide=True).checkpoint()
+    order = ex.long_form(abl, NAMES, ["ablation_value"])
+
+    def cumulative(rows, keep=()):
+        return ex.cumulative_ablation(MODEL, train, rows, NAMES, order, 5, broadcast_bytes=limit, background=bg, wide=True, keep=keep)
+
+    def explain(rows):
+        return ex.linear_shap(MODEL, train, cumulative(rows, ["ablation_value"]).withColumnRenamed("feature_value", "x"), NAMES,
+                              wide=True, keep=["ablation_value", *mg.CUMULATIVE])
+
+    got = mg.by_feature(mg.merge_along(explain, abl.select("id", F.col("feature_value").alias("x"), "ablation_value")), None, "y", NAMES)
+    want = mg.merge_attributions(shap=ex.linear_shap(MODEL, train, test, NAMES, wide=True), ablation=abl, cumulative=cumulative(test),
+                                 target_context="y", wide=NAMES)
+    assert got.dtypes == want.dtypes
+    a, b = (sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f.collect()), key=str) for f in (got, want))
+    assert a == b and len(a) >= P * test.count()
+    if rows == "once":
+        assert "Join" not in plan_of(got)
+
+
 def test_a_merge_deals_a_row_an_id(spark, data):
     """Features are spread above the joins, so that what is shuffled is a row an id and not one a feature."""
     from concordia.operators import merge as mg
