@@ -39,6 +39,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 STORE_UNITS = 120_000
 MARK = "▁"  # fixed value: the space mark of the vocabulary
 SLICE_BYTES = 2 << 20
+#: Of a slice whose ids leave the task beside their texts: arrays held at once go with it.
+ENCODED_SLICE_BYTES = 512 << 10
 _FAR = np.int64(1) << 60
 
 
@@ -408,23 +410,29 @@ def slices(b: pa.RecordBatch, text_at: int, limit: int = SLICE_BYTES):
         lo = hi
 
 
+def encoded(batches, path: str):
+    """Batches of (doc_id, text) as batches of (doc_id, n_pieces, pieces, round_trip), a slice of texts each."""
+    pa.default_memory_pool().release_unused()  # what an earlier stage left in this worker
+    enc = encoder(path)
+    for batch in batches:
+        for b, text in slices(batch, 1, ENCODED_SLICE_BYTES):
+            ids, offs = enc.encode(text)
+            back = enc.decode(ids, offs)
+            plain = pc.replace_substring(text.cast(pa.string()), MARK, " ")
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.diff(offs), pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())),
+                 pc.equal(back, plain)],
+                names=["doc_id", "n_pieces", "pieces", "round_trip"])
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, n_pieces, pieces, round_trip)`` per row: piece ids of the whole text, decoded again and compared."""
     path = path or model_path()
     ship(docs.sparkSession)
 
     def run(batches):
-        enc = encoder(path)
-        for batch in batches:
-            for b, text in slices(batch, 1):
-                ids, offs = enc.encode(text)
-                back = enc.decode(ids, offs)
-                plain = pc.replace_substring(text.cast(pa.string()), MARK, " ")
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.diff(offs), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())),
-                     pc.equal(back, plain)],
-                    names=["doc_id", "n_pieces", "pieces", "round_trip"])
+        yield from encoded(batches, path)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, "doc_id long, n_pieces long, pieces array<int>, round_trip boolean")

@@ -342,3 +342,21 @@ def test_pieces_store_is_bounded():
         ids, at = small.encode(pa.array(texts[lo:lo + 100]))
         assert ids.tolist() == want[w_at[lo]:w_at[lo + 100]].tolist()
         assert len(small.new) <= 50 + 7 + 200 and small.decode(ids, at).to_pylist() == texts[lo:lo + 100]
+
+
+def test_texts_are_encoded_in_small_slices():
+    """What a task holds at once goes with the slice, not with Spark's batch; rows and ids as in one piece."""
+    import pyarrow as pa
+    from concordia.llm import pieces
+
+    texts = ["some words of text number %d " % i * 400 for i in range(200)] + [None, "", "long " * 200_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(pieces.encoded(iter([batch]), pieces.model_path()))
+    size = [len(t or "") for t in texts]
+    for b in out:
+        assert b.num_rows == 1 or sum(size[i] for i in b.column(0).to_pylist()) <= 512 << 10
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    enc = pieces.Encoder(pieces.Vocabulary(pieces.model_path()))
+    ids, offs = enc.encode(pa.array(texts))
+    assert [p for b in out for p in b.column(2).to_pylist()] == [ids[a:z].tolist() for a, z in zip(offs, offs[1:])]
+    assert all(r for b in out for r in b.column(3).to_pylist()[:-1])
