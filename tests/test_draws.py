@@ -236,3 +236,25 @@ def test_explainers_share_the_blocks_of_a_background(spark, data, monkeypatch):
     ex.cumulative_ablation(MODEL, train, test, NAMES, abl, 5, broadcast_bytes=0, background=(bg, n))
     (second,) = draws._BLOCKS[bg].values()
     assert first[0] is second[0]
+
+
+def test_the_driver_holds_no_background_of_several_mb(spark, data, monkeypatch):
+    _, test = data
+    n = 200_000
+    bg = spark.range(n).select(F.col("id").alias("bidx"), F.array(*[(F.col("id") % (5 + k)).cast("double") for k in range(P)]).alias("x"))
+    plans = [(np.eye(P), lambda x: x.sum(axis=1))]
+
+    def means(limit):
+        got = draws.draw_means(plans, bg, n, test, P, range(P), 4, "s", limit)
+        return {r["id"]: r["means"] for r in got.collect()}
+
+    monkeypatch.setattr(draws, "DRIVER_BYTES", 1 << 30, raising=False)
+    whole = means(1 << 30)
+    monkeypatch.undo()
+
+    def collected(*args):
+        raise AssertionError("the driver holds the background")
+
+    monkeypatch.setattr(draws, "_in_rows", collected)
+    blocks = means(64 << 20)
+    assert blocks.keys() == whole.keys() and all(blocks[k] == pytest.approx(whole[k], abs=1e-9) for k in whole)
