@@ -1,7 +1,7 @@
 """Operator 10: near-duplicate embeddings by int8 tile products with error bounds.
 
 Equal vectors form one class (rows of a class are all linked). Classes are dealt
-to tiles of about ``tile`` vectors by a hash of their smallest id. A unit vector
+to tiles of about ``tile`` vectors by a hash of their bytes. A unit vector
 ``a`` is stored as ``s_a * q_a`` with int8 ``q_a``; ``e_a`` is the exact length of
 what rounding took. For two vectors
 
@@ -9,10 +9,12 @@ what rounding took. For two vectors
 
 so a pair of tiles costs one product of small integers, exact in single
 precision, and only pairs whose upper bound reaches the threshold are computed
-again from the original vectors in double precision. Each tile pair emits at
-most a row per vector (its number of links there, and the smallest vector it is
-joined with), never the pairs, so a large group of near copies stays linear.
-The work is n^2 / 2 integer products in tiles; memory per task is two tiles.
+again from the original vectors in double precision. Tiles are written once; a
+task holds a batch of them while all others pass through it, and gives out at
+most a row per vector of its batch and one per passing vector (its number of
+links there, and the smallest vector it is joined with), never the pairs: neither
+the tiles nor a large group of near copies fill the disk. The work is n^2 / 2
+integer products in tiles.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite
 component link with nothing (0 links, own component, kept); vectors of different
@@ -27,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import written
 from .components import components
+from .shipping import ship
 from .vectors import matrix, packed
 
 TILE = 2048
+#: Components of the vectors of the tiles that a task holds while the others pass: 8 bytes each, and their codes.
+BATCH_CELLS = 1 << 21
 
 
 def quantise(unit: np.ndarray):
@@ -43,19 +48,24 @@ def quantise(unit: np.ndarray):
 
 
 def _build(dtype):
-    def run(t: pa.Table) -> pa.Table:
-        ids = t["id"].to_numpy()
+    def run(rows: pa.Table, classes: pa.Table) -> pa.Table:
+        if not rows.num_rows or not classes.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in (("dim", pa.int32()), ("tile", pa.int64()), *((p, pa.binary()) for p in _PARTS))})
+        # rows of a class may come from several tasks: one of them is taken
+        at = {k: i for i, k in enumerate(rows["key"].to_pylist())}
+        known = [at.get(k, -1) for k in classes["c_key"].to_pylist()]
+        keep = np.flatnonzero(np.array(known) >= 0)
+        ids = classes["c_id"].to_numpy()[keep]
         order = np.argsort(ids, kind="stable")
-        raw = t["raw"].to_pylist()
-        dim = t["dim"][0].as_py()
-        x = matrix([raw[i] for i in order], dtype, dim)
+        raw = rows["raw"].take(pa.array([known[i] for i in keep[order]], pa.int64())).to_pylist()
+        dim = rows["dim"][0].as_py()
+        x = matrix(raw, dtype, dim)
         # lengths of very large or small vectors: scaled before squaring
         top = np.abs(x).max(axis=1, keepdims=True)
         length = np.sqrt(((x / top) ** 2).sum(axis=1))
         codes, scale, err, size = quantise(x / top / length[:, None])
-        blobs = (ids[order], t["m"].to_numpy()[order], codes.astype(np.int8), scale, err, size,
-                 x.astype(dtype))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "tile": pa.array([t["tile"][0].as_py()], pa.int64()),
+        blobs = (ids[order], classes["c_m"].to_numpy()[keep][order], codes.astype(np.int8), scale, err, size, x.astype(dtype))
+        return pa.table({"dim": pa.array([dim], pa.int32()), "tile": pa.array([rows["tile"][0].as_py()], pa.int64()),
                          **{n: pa.array([b.tobytes()], pa.binary()) for n, b in zip(_PARTS, blobs)}})
 
     return run
@@ -64,9 +74,9 @@ def _build(dtype):
 _PARTS = ("ids", "m", "codes", "scale", "err", "size", "raw")
 
 
-def _load(t: pa.Table, row: int, dtype):
-    dim = t["dim"][row].as_py()
-    get = lambda n, d: np.frombuffer(t[n][row].as_py(), d)
+def _load(t: dict, dtype):
+    dim = t["dim"]
+    get = lambda n, d: np.frombuffer(t[n], d)
     x = get("raw", dtype).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.sqrt((x ** 2).sum(axis=1))[:, None]
@@ -103,28 +113,75 @@ def links_between(a: dict, b: dict, same: bool, threshold: float):
     return np.concatenate([none, *got_i]), np.concatenate([none, *got_j])
 
 
-def _tile_pair(dtype, threshold):
-    def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["tile"].to_numpy())
-        a = _load(t, int(order[0]), dtype)
-        same = len(order) == 1
-        b = a if same else _load(t, int(order[1]), dtype)
-        i, j = links_between(a, b, same, threshold)
-        n = len(a["ids"])
-        ids, m = (a["ids"], a["m"]) if same else (np.concatenate([a["ids"], b["ids"]]), np.concatenate([a["m"], b["m"]]))
-        j = j if same else j + n
-        links = np.bincount(i, m[j], minlength=len(ids)) + np.bincount(j, m[i], minlength=len(ids))
-        root = ids.copy()
-        while True:  # smallest id joined with, along the links
-            low = np.minimum(root[i], root[j])
+def _meets(a: int, b: int) -> bool:
+    """Whether the batch that holds tile ``a`` counts its pairs with tile ``b``: one side of every two does."""
+    return a == b or (a < b) == ((a + b) % 2 == 0)
+
+
+class _Batch:
+    """Tiles that a task holds, and their vectors' links and roots so far."""
+
+    def __init__(self, tiles: list[dict], dtype, threshold: float):
+        self.dtype, self.threshold, self.dim = dtype, threshold, tiles[0]["dim"]
+        self.numbers, self.tiles = [t["tile"] for t in tiles], [_load(t, dtype) for t in tiles]
+        self.first = np.concatenate([[0], np.cumsum([len(t["ids"]) for t in self.tiles])])
+        self.ids, self.m = (np.concatenate([t[n] for t in self.tiles]) for n in ("ids", "m"))
+        self.links, self.root = np.zeros(len(self.ids), np.int64), self.ids.copy()
+
+    def visit(self, passing: dict):
+        """Meet a passing tile: rows of (id, links, root) to give out at once, or None."""
+        at = [k for k, a in enumerate(self.numbers) if _meets(a, passing["tile"])] if passing["dim"] == self.dim else []
+        if not at:
+            return None
+        own = self.numbers.index(passing["tile"]) if passing["tile"] in self.numbers else None
+        b = _load(passing, self.dtype) if own is None else self.tiles[own]
+        n, first = len(self.ids), len(self.ids) if own is None else self.first[own]
+        ids, m, root = (np.concatenate([held, more]) if own is None else held for held, more in (
+            (self.ids, b["ids"]), (self.m, b["m"]), (self.root, b["ids"])))
+        links, given_up = np.zeros(len(ids), np.int64), []
+        for k in at:  # pairs of two tiles are held at a time
+            i, j = links_between(self.tiles[k], b, k == own, self.threshold)
+            if not len(i):
+                continue
+            i, j = i + self.first[k], j + first
+            links += (np.bincount(i, m[j], minlength=len(ids)) + np.bincount(j, m[i], minlength=len(ids))).astype(np.int64)
             new = root.copy()
-            np.minimum.at(new, i, low)
-            np.minimum.at(new, j, low)
-            if (new == root).all():
-                break
+            while True:  # smallest id joined with, along the links
+                low = np.minimum(new[i], new[j])
+                step = new.copy()
+                np.minimum.at(step, i, low)
+                np.minimum.at(step, j, low)
+                if (step == new).all():
+                    break
+                new = step
+            # a root that gives way stays joined with the one that follows it
+            moved = np.flatnonzero((new != root) & (root != ids))
+            given_up.append(np.unique(np.stack([root[moved], new[moved]]), axis=1))
             root = new
-        hit = np.flatnonzero(links > 0)
-        return pa.table({"id": ids[hit], "links": links[hit].astype(np.int64), "root": root[hit]})
+        if not given_up:
+            return None
+        before, after = np.unique(np.concatenate(given_up, axis=1), axis=1)
+        self.links, self.root = self.links + links[:n], root[:n]
+        hit = n + np.flatnonzero(links[n:] > 0)
+        return (np.concatenate([ids[hit], before]), np.concatenate([links[hit], np.zeros(len(before), np.int64)]),
+                np.concatenate([root[hit], after]))
+
+    def rows(self):
+        hit = np.flatnonzero(self.links > 0)
+        return self.ids[hit], self.links[hit], self.root[hit]
+
+
+def _batches_meet(dtype, threshold):
+    def run(pairs):
+        held = {}
+        for (name, tiles), passing in pairs:
+            if name not in held:
+                held[name] = _Batch(tiles, dtype, threshold)
+            got = held[name].visit(passing.asDict())
+            if got is not None:
+                yield from zip(*(c.tolist() for c in got))
+        for batch in held.values():
+            yield from zip(*(c.tolist() for c in batch.rows()))
 
     return run
 
@@ -132,26 +189,18 @@ def _tile_pair(dtype, threshold):
 def linked_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
                    tile: int = TILE) -> DataFrame:
     """Per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    rows, dtype = packed(vectors, id_col, vector_col)
-    rows = materialize(rows.withColumn("key", F.sha2("raw", 256)))
-    # classes of equal vectors; members are counted once an id, combined before the shuffle
-    members = rows.where("raw IS NOT NULL AND vec_id IS NOT NULL").groupBy("key", "dim", "vec_id") \
-        .agg(F.first("raw").alias("raw"))
-    classes = members.groupBy("key", "dim").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"),
-                                                F.first("raw").alias("raw"))
-    classes = materialize(classes)
-    per_dim = classes.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(tile)).alias("tiles"))
-    dealt = classes.join(F.broadcast(per_dim), "dim") \
-        .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    blobs = ", ".join(f"{n} binary" for n in _PARTS)
-    tiles = dealt.select("dim", "tile", "id", "m", "raw").groupBy("dim", "tile") \
-        .applyInArrow(_build(dtype), f"dim int, tile long, {blobs}").join(F.broadcast(per_dim), "dim")
-    tiles = materialize(tiles)
-    cells = tiles.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("with")) \
-        .select("dim", "tile", *_PARTS, F.least("tile", "with").alias("t1"), F.greatest("tile", "with").alias("t2"))
-    # a hash may leave a tile number without vectors; a lone tile then meets itself only
-    found = cells.groupBy("dim", "t1", "t2").applyInArrow(_guard(dtype, threshold), "id long, links long, root long")
-    found = materialize(found)
+    given, dtype = packed(vectors, id_col, vector_col)
+    given = given.withColumn("key", F.unhex(F.sha2("raw", 256)))
+    rows = written(given.select("vec_id", "dim", "key"))
+    # classes of equal vectors; members are counted once an id
+    members = rows.where("key IS NOT NULL AND vec_id IS NOT NULL")
+    classes = written(members.distinct().groupBy("key", "dim").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
+    per_dim = {r["dim"]: -(-r["n"] // tile) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row a length
+    spark = vectors.sparkSession
+    if not per_dim:
+        found = spark.createDataFrame([], "id long, links long, root long")
+    else:
+        found = _found(spark, given, classes, per_dim, dtype, threshold, tile)
     comp = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     count = found.groupBy("id").agg(F.sum("links").alias("links"))
     by_class = classes.select("key", "id", "m").join(count, "id", "left").join(comp, "id", "left") \
@@ -163,16 +212,48 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "ve
         (F.col("vec_id").isNull() | (F.col("vec_id") == F.coalesce("component_id", "vec_id"))).alias("kept"))
 
 
-def _guard(dtype, threshold):
-    pair = _tile_pair(dtype, threshold)
+def _once_a_batch(batches):
+    """Rows without those whose vector came before in the same batch, so that a common vector's rows meet in no task."""
+    for b in batches:
+        seen = b.column(b.schema.get_field_index("key")).to_pylist()
+        yield b.take(pa.array(sorted({k: i for i, k in enumerate(seen)}.values()), pa.int64()))
 
-    def run(t: pa.Table) -> pa.Table:
-        if t.num_rows == 1 and t["t1"][0].as_py() != t["t2"][0].as_py():
-            none = pa.array([], pa.int64())
-            return pa.table({"id": none, "links": none, "root": none})
-        return pair(t)
 
-    return run
+def _found(spark, given: DataFrame, classes: DataFrame, per_dim: dict, dtype, threshold: float, tile: int) -> DataFrame:
+    """``(id, links, root)``: links of classes, and the smallest id that each was seen joined with; an id may come several times.
+
+    Tiles are written once. Batches of them are dealt to tasks, and all tiles pass through every task, one at a time, read
+    where they were written: disk holds the vectors a fixed number of times, whatever their number.
+    """
+    ship(spark)
+    number = F.create_map(*[F.lit(int(v)) for kv in sorted(per_dim.items()) for v in kv])
+    number = F.pmod(F.xxhash64("key"), F.element_at(number, F.col("dim")).cast("long")).alias("tile")
+    kinds = "key binary, dim int, raw binary"
+    rows = given.where("key IS NOT NULL AND vec_id IS NOT NULL").select("key", "dim", "raw").mapInArrow(_once_a_batch, kinds)
+    blobs = ", ".join(f"{n} binary" for n in _PARTS)
+    tiles = written(rows.select("dim", number, "key", "raw").groupBy("dim", "tile").cogroup(
+        classes.select("dim", number, "key", "id", "m").toDF("c_dim", "c_tile", "c_key", "c_id", "c_m").groupBy("c_dim", "c_tile"))
+        .applyInArrow(_build(dtype), f"dim int, tile long, {blobs}"))
+    # batches of a length's tiles: as many as give every core two, bounded by the cells a task holds
+    cores, batches = spark.sparkContext.defaultParallelism, {}
+    for dim, n in sorted(per_dim.items()):
+        size = max(1, min(BATCH_CELLS // (tile * dim), n // (2 * cores)))
+        batches[dim] = (sum(count for _, _, count in batches.values()), size, -(-n // size))
+    total = sum(count for _, _, count in batches.values())
+
+    def batch_of(r):
+        first, size, count = batches[r["dim"]]
+        return first + r["tile"] % count, r.asDict()
+
+    def pack(pairs):
+        held = {}
+        for k, t in pairs:
+            held.setdefault(k, []).append(t)
+        yield from held.items()
+
+    asking = tiles.rdd.map(batch_of).partitionBy(total, int).mapPartitions(pack)
+    got = asking.cartesian(tiles.rdd.coalesce(1)).mapPartitions(_batches_meet(dtype, threshold))
+    return written(spark.createDataFrame(got, "id long, links long, root long", verifySchema=False))
 
 
 def op10_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

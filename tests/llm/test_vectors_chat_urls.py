@@ -1,9 +1,13 @@
 """Vector, chat and url operators, and components, against brute force and on odd rows."""
 
 import collections
+import contextlib
 import hashlib
 import itertools
 import re
+import threading
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -259,6 +263,31 @@ def test_pipeline_stages_keep_their_contracts(spark):
         collections.Counter((r.doc_id, r.n_pieces) for r in rows)
 
 
+def test_many_tiles_are_not_dealt_again(spark):
+    """Disk holds the vectors a fixed number of times, not once a pair of tiles; a group over all tiles gives few rows."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=64) + 0.1 * rng.normal(size=(512, 64))).astype(np.float32)  # all alike
+    given = vectors(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]).repartition(3).checkpoint()
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    most, done = [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            with contextlib.suppress(OSError):  # a file may go meanwhile
+                most[0] = max(most[0], sum(f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data")))
+
+    watch_once = threading.Thread(target=watch)
+    watch_once.start()
+    time.sleep(0.2)
+    before = most[0]
+    got = quantised.linked_vectors(given, tile=8).collect()
+    done.set()
+    watch_once.join()
+    assert {(r.n_links, r.component_id) for r in got} == {(511, 0)}
+    assert most[0] - before < 12 * 4 * x.size
+
+
 def test_registered_queries_cover_their_tables(spark):
     from concordia.llm import catalog
 
