@@ -139,3 +139,36 @@ def test_dominance_across_blocks_explodes_no_point(spark, monkeypatch):
     got = ag._dominance_total(spark.createDataFrame(rows, "g string, x double, y double"), ["g"])
     assert {r["g"]: r["dom"] for r in got.collect()} == want
     assert "yr" in got._jdf.queryExecution().analyzed().toString() and "level" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_ranks_are_written_once_and_points_counted_in_slices(spark, monkeypatch):
+    """Ranked rows are read where they were written, not dealt again; groups counted slice by slice give the same values and
+    leave no table of a slice behind."""
+    import os
+
+    import numpy as np
+
+    from concordia.operators import agreement as ag
+    from concordia.session import scratch_path
+
+    rng = np.random.default_rng(2)
+    rows = [(f"d{g}", t, f"a{i}", m, float(v)) for g in range(3) for t in "xy" for m in ag.METHODS
+            for i, v in enumerate(rng.integers(0, 15, 40))]
+    imp = spark.createDataFrame([*rows, (None, "x", "a0", "SHAP", 1.0), ("d0", "x", None, "SHAP", None)],
+                                "dataset string, target string, attribute string, method string, value double")
+    ranks = ag.unique_ranks(imp)
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Window" not in plan and "RDDScan" not in plan
+    want = {}
+    for r in sorted(imp.collect(), key=lambda r: (r.value is None, -(r.value or 0), r.attribute or "")):
+        want.setdefault((r.dataset, r.target, r.method), []).append(r.attribute)
+    assert {(r.dataset, r.target, r.method, r.attribute, r["rank"]) for r in ranks.collect()} == \
+        {(*k, a, i + 1) for k, v in want.items() for i, a in enumerate(v)}
+    points = ag.paired_points(ranks)
+    whole = sorted(map(tuple, ag.kendall_tau_b(points).collect()))
+    assert len(whole) == 36
+    monkeypatch.setattr(ag, "SLICED_POINTS", 0)
+    tables = os.path.dirname(scratch_path(spark, "x").removeprefix("file:"))
+    before = len(os.listdir(tables))
+    assert sorted(map(tuple, ag.kendall_tau_b(points).collect())) == whole
+    assert len(os.listdir(tables)) == before + 1 + ag.SLICES  # the points and a result a slice
